@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Partitions of 64-bit xxhash space never matter below this many rows; only a lower bound for tiny inputs.
+#: Lower bound on shuffle partitions, for tiny inputs.
 MIN_PARTITIONS = 4
 
 
@@ -64,9 +65,7 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """
     spark = df.sparkSession
     names = list(sums)
-    schema = df.schema
-    for n in ["row_index", *names, "part"]:
-        schema = schema.add(n, "long")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType()) for n in ["row_index", *names, "part"]]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import op7_systematic_mix
+from .sharding import op3_minimax_sharding
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op3_minimax_sharding": op3_minimax_sharding, "op7_systematic_mix": op7_systematic_mix}
 ORACLE: dict[str, str] = {}
