@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .mixing import op7_systematic_mix
+from .secrets import op4_blob_ledger
 from .sharding import op3_minimax_sharding
 from .simhash import op1_simhash
+from .spotsigs import op2_spotsigs
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_minimax_sharding": op3_minimax_sharding, "op7_systematic_mix": op7_systematic_mix}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_spotsigs": op2_spotsigs,
+    "op3_minimax_sharding": op3_minimax_sharding,
+    "op4_blob_ledger": op4_blob_ledger,
+    "op7_systematic_mix": op7_systematic_mix,
+}
 ORACLE: dict[str, str] = {}
