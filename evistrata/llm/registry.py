@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .mixing import op7_systematic_mix
+from .pieces import op8_sentencepiece
+from .quality import op6_compression_quality
 from .secrets import op4_blob_ledger
 from .sharding import op3_minimax_sharding
 from .simhash import op1_simhash
@@ -13,6 +15,8 @@ QUERIES = {
     "op2_spotsigs": op2_spotsigs,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_blob_ledger": op4_blob_ledger,
+    "op6_compression_quality": op6_compression_quality,
     "op7_systematic_mix": op7_systematic_mix,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 ORACLE: dict[str, str] = {}
