@@ -66,7 +66,7 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     n, m = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
     pruned = F.least(n, m) < F.greatest(n, m) * F.lit(at_least)
-    exact = both / (n + m - both)
+    exact = F.try_divide(both, n + m - both)
     return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | pruned, F.lit(0.0)).otherwise(exact)
 
 
