@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op7_systematic_mix
 from .neighbours import op9_stable_projections
 from .pieces import op8_sentencepiece
+from .pitman_yor import op10_pitman_yor
 from .quality import op6_compression_quality
 from .secrets import op4_blob_ledger
 from .sharding import op3_minimax_sharding
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_systematic_mix": op7_systematic_mix,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_stable_projections": op9_stable_projections,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 ORACLE: dict[str, str] = {}
