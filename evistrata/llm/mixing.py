@@ -66,5 +66,18 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with every row repeated as often as the mix takes it."""
+    columns = docs.columns
+    keyed = docs.withColumn("key__", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\u0000"))))
+    rows = keyed.select(F.struct("doc_id", "key__").alias("doc_id"), "source", "text")
+    taken = keep(mix(rows, **options).select("doc_id.doc_id", "doc_id.key__", "copies").groupBy("doc_id", "key__").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows__")))
+    if not taken.where("rows__ > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "key__"])
+    plan = taken.where("copies > 0").select(F.col("doc_id").alias("id__"), F.col("key__").alias("k__"), "copies")
+    out = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key__") == F.col("k__")))
+    return out.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+
+
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")

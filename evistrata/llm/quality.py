@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PER_CLASS = 1000
 CALIBRATION = 4000
@@ -139,6 +140,21 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | float, key:
     return docs.select(key, F.col("text").cast("binary")).mapInArrow(run, f"{key} {kind}, score double, predicted int")
 
 
+def with_scores(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | float) -> DataFrame:
+    """docs with all their columns, and predicted__ from the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sized = None if isinstance(model, float) else Sizes(*model[:2])
+        for b in batches:
+            if sized is None:
+                s = np.full(b.num_rows, model)
+            else:
+                s = scores(np.array([sized.features(t.as_py() or b"") for t in b["text"].cast(pa.binary())]).reshape(-1, 3), model[2])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((s >= THRESHOLD).astype(np.int32))], names=[*b.schema.names, "predicted__"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("predicted__", T.IntegerType())]))
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, train(docs, labels))

@@ -18,6 +18,7 @@ id is its smallest non-null doc_id; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,15 +31,18 @@ from pyspark.sql import functions as F
 from .common import components, keep
 
 KEY_BYTES = 4
-LIGHT = 128
+LIGHT = 1024
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of one text as a signed 64-bit integer."""
+def fingerprint(text: bytes, shingle: int = 3, distinct: bool = False) -> int:
+    """SimHash of one text as a signed 64-bit integer; `distinct` counts each different shingle once."""
     words = text.lower().split()
     if not words:
         return 0
+    if distinct:
+        rows_ = set(zip(*(words[i:] for i in range(shingle)), strict=False)) or {tuple(words)}
+        words, shingle = [b" ".join(r) for r in sorted(rows_)], 1
     n = max(1, len(words) - shingle + 1)
     h64, join = xxhash.xxh64_intdigest, b" ".join
     ones = np.zeros(64, dtype=np.int64)
@@ -54,12 +58,12 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """(doc_id, fp long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t or b"", shingle) for t in (x.as_py() for x in b["text"])), np.int64, count=b.num_rows)
+            fps = np.fromiter((fingerprint(t or b"", shingle, distinct) for t in (x.as_py() for x in b["text"])), np.int64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
@@ -92,20 +96,18 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
             tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
             x, i, j = x[ok := tally >= 8 - max_bits], i[ok], j[ok]
             ok = _popcount(x) <= max_bits
-            root = list(range(len(f)))
-            for a, c in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                while root[a] != a:
-                    a = root[a]
-                while root[c] != c:
-                    c = root[c]
-                root[max(a, c)] = min(a, c)
-            for k in range(len(f)):
-                r = k
-                while root[r] != r:
-                    r = root[r]
-                if r != k:
-                    us.append(f[k])
-                    vs.append(f[r])
+            i, j, root = i[ok], j[ok], np.arange(len(f))
+            while len(i):
+                least = root.copy()
+                np.minimum.at(least, i, root[j])
+                np.minimum.at(least, j, root[i])
+                least = least[least]
+                if (least == root).all():
+                    break
+                root = least
+            moved = np.flatnonzero(root != np.arange(len(f)))
+            us += f[moved].tolist()
+            vs += f[root[moved]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
@@ -137,16 +139,62 @@ def links(distinct: DataFrame, max_bits: int = 2, light: int = LIGHT) -> DataFra
     return found.union(star)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, light: int = LIGHT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, light: int = LIGHT, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text)."""
-    fps = keep(fingerprints(docs, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = components(links(distinct.select("fp"), max_bits, light))
-    named = distinct.join(root, distinct.fp == root.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    fps = keep(fingerprints(docs, shingle, distinct))
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    root = components(links(firsts.select("fp"), max_bits, light))
+    named = firsts.join(root, firsts.fp == root.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_hashes(text: Column, shingle: int = 5) -> Column:
+    """Sorted distinct hashes of a text's word shingles (fewer words: of the whole sequence; none: an empty array)."""
+    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
+    rows = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")))
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(rows))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bits: int = 4) -> DataFrame:
+    """docs without near-copies: a row goes when its text's word shingles are at least `at_least` alike (Jaccard) to
+    those of a row that stays.
+
+    Candidate groups are the SimHash components of distinct words within max_bits. In each group the row with the
+    smallest (doc_id, text hash) stays, those alike to it go, and the rest form the group of the next round. Exact
+    copies, repeated rows included, are one text throughout.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("key__", text_key)
+    fps = keep(fingerprints(keyed.select(F.col("key__").alias("doc_id"), "text"), 1, True).withColumnRenamed("doc_id", "key__").distinct())
+    ids = keep(keyed.groupBy("key__").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    root = components(links(fps.select("fp").distinct(), max_bits))
+    grouped = fps.join(root, fps.fp == root.u, "left").select("key__", F.coalesce("root", "fp").alias("group"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
+    many = keep(grouped.join(sizes.where("n > 1"), "group").join(ids, "key__").select("group", "key__", "first"))
+    texts = keyed.join(many.select("key__", "first"), "key__").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["key__"])
+    left = keep(texts.join(many.select("key__", "group"), "key__").select("group", "first", "key__", shingle_hashes(F.col("text"), shingle).alias("sh")))
+    gone = []
+    while not left.isEmpty():
+        order = F.struct(F.col("first").isNull(), "first", "key__")
+        heads = left.groupBy("group").agg(F.min_by(F.struct("key__", "sh"), order).alias("head"))
+        pairs = left.join(heads, "group").where(F.col("key__") != F.col("head.key__"))
+        both = F.size(F.array_intersect("sh", "head.sh"))
+        alike = F.coalesce(F.try_divide(both, F.size("sh") + F.size("head.sh") - both), F.lit(1.0)) >= at_least
+        judged = keep(pairs.select("group", "first", "key__", "sh", alike.alias("alike")))
+        gone.append(judged.where("alike").select("key__"))
+        left = judged.where(~F.col("alike")).drop("alike")
+    stay = ids
+    for g in gone:
+        stay = stay.join(g, "key__", "left_anti")
+    out = keyed.join(keep(stay), "key__").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    if not ids.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["key__"])
+    return out.select(*columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
