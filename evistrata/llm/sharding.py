@@ -58,7 +58,7 @@ def shard_groups(docs: DataFrame, shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     text = clean_text()
     base = keep(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key")))
-    firsts = base.groupBy("key").agg(F.min("doc_id").alias("first"))
+    firsts = keep(base.groupBy("key").agg(F.min("doc_id").alias("first")))  # a table of its own, so that a hot key of the join can be split
     laid = keep(running(base.join(firsts, "key"), ["first", "key", "doc_id"], {"start": "size"}))
     groups = keep(laid.groupBy("key").agg(F.min("start").alias("start"), F.sum("size").alias("bytes")))
     total, largest = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
