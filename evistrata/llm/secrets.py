@@ -99,7 +99,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, findings, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    out = paths.join(by_blob(findings), "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    out = paths.join(keep(by_blob(findings)), "blob", "left").withColumn("spans", F.coalesce("spans", none))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return out.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
