@@ -51,7 +51,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     """docs(doc_id, source, text) -> doc_id, source, size, source_size, target, copies, taken."""
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    base = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
     laid = keep(running(base, ["source", "size", "doc_id"], {}))
     rows = laid.groupBy("source").agg(F.sum("size").alias("size"), F.min("row_index").alias("begin")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
