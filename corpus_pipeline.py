@@ -29,7 +29,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Replaces secrets in the texts."""
     _, findings, _ = secrets.scan(docs)
     held = docs.withColumn("blob__", secrets.blob_id(F.coalesce("text", F.lit(""))))
-    spans = secrets.by_blob(findings).select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__"))
+    spans = keep(secrets.by_blob(findings).select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__")))
     text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans__")))
     out = held.join(spans, "blob__", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
