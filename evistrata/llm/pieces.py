@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Words kept encoded per task, and characters of text taken at a time; memory bounds only.
-CACHE_WORDS = 200_000
+#: Words kept encoded per task (twice: those used lately), and characters of text taken at a time; memory bounds only.
+CACHE_WORDS = 300_000
 SLICE_CHARS = 2 << 20
 _WORD = re.compile(" *[^ ]+| +")
 _NONE = np.int32(2**31 - 1)
@@ -98,8 +98,8 @@ class Vocabulary:
         ok = self.keys[at] == want
         return np.where(ok, self.ranks[at], _NONE), self.into[at]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; spaces stand for the escaped space."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and each word's number of ids; spaces stand for the escaped space."""
         flat = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         sym = self.chars[flat].astype(np.int64)
         sym = np.where(sym < 0, self.base + flat, sym)
@@ -141,19 +141,17 @@ class Vocabulary:
             fresh = np.unique(np.r_[at - 1, at])
         w = np.concatenate([x[0] for x in done]) if done else np.zeros(0, dtype=np.int64)
         s = np.concatenate([x[1] for x in done]) if done else np.zeros(0, dtype=np.int64)
-        order = np.argsort(w, kind="stable")
-        s, cuts = s[order], np.cumsum(np.bincount(w, minlength=len(words)))[:-1]
-        return [self._bytes(x) if (x >= self.size).any() else x for x in np.split(s, cuts)]
-
-    def _bytes(self, ids: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for i in ids.tolist():
-            if i < self.size:
-                out.append(i)
-            else:
-                c = self.char_of.get(i) or chr(i - self.base)
-                out += self.byte_ids[list(c.encode())].tolist()
-        return np.array(out, dtype=np.int64)
+        s, count = s[np.argsort(w, kind="stable")], np.bincount(w, minlength=len(words))
+        odd = np.flatnonzero(s >= self.size)
+        if len(odd):  # characters without a piece: their bytes instead
+            raw = [self.byte_ids[list((self.char_of.get(i) or chr(i - self.base)).encode())] for i in s[odd].tolist()]
+            extra = np.array([len(r) - 1 for r in raw])
+            np.add.at(count, np.repeat(np.arange(len(words)), count)[odd], extra)
+            width = np.ones(len(s), dtype=np.int64)
+            width[odd] += extra
+            s = np.repeat(s, width)
+            s[np.repeat(np.isin(np.arange(len(width)), odd), width)] = np.concatenate(raw)
+        return s, count
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.surface[i] for i in ids])[1:].decode("utf-8", "replace")
@@ -181,7 +179,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, with
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary(default_model())))  # plain arrays: executors lack this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = Vocabulary.__new__(Vocabulary), {}
+        vocab, known, older = Vocabulary.__new__(Vocabulary), {}, {}
         vars(vocab).update(shared.value)
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
@@ -189,11 +187,20 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, with
             for part in _slices(texts):
                 words = [split(t) for t in part]
                 if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = list({w for ws in words for w in ws if w not in known})
-                for w, ids in zip(new, vocab.encode_words(new) if new else [], strict=True):
-                    listed = ids.tolist()
-                    known[w] = (",".join(map(str, listed)), len(listed), b"".join([vocab.surface[i] for i in listed]), ids.astype(np.int32) if with_ids else None)
+                    known, older = {}, known
+                need = {w for ws in words for w in ws}.difference(known)
+                if older:
+                    known.update((w, older[w]) for w in need if w in older)
+                    need.difference_update(known)
+                if need:
+                    new = list(need)
+                    flat, count = vocab.encode_words(new)
+                    listed, ends = flat.tolist(), np.cumsum(count).tolist()
+                    texts_, parts = list(map(str, listed)), [vocab.surface[i] for i in listed]
+                    flat, begin = flat.astype(np.int32), 0
+                    for w, end in zip(new, ends, strict=True):
+                        known[w] = (",".join(texts_[begin:end]), end - begin, b"".join(parts[begin:end]), flat[begin:end].copy() if with_ids else None)
+                        begin = end
                 for ws in words:
                     found = [known[w] for w in ws]
                     text = b"".join([f[2] for f in found])[1:]
