@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words kept encoded per task (twice: those used lately), and characters of text taken at a time; memory bounds only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 SLICE_CHARS = 2 << 20
 _WORD = re.compile(" *[^ ]+| +")
 _NONE = np.int32(2**31 - 1)
@@ -199,14 +199,14 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, with
                     texts_, parts = list(map(str, listed)), [vocab.surface[i] for i in listed]
                     flat, begin = flat.astype(np.int32), 0
                     for w, end in zip(new, ends, strict=True):
-                        known[w] = (",".join(texts_[begin:end]), end - begin, b"".join(parts[begin:end]), flat[begin:end].copy() if with_ids else None)
+                        known[w] = (",".join(texts_[begin:end]), end - begin, b"".join(parts[begin:end]), flat[begin:end].tobytes() if with_ids else None)
                         begin = end
                 for ws in words:
                     found = [known[w] for w in ws]
                     text = b"".join([f[2] for f in found])[1:]
                     rows.append((sum([f[1] for f in found]), hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
                     if with_ids:
-                        arrays.append(np.concatenate([f[3] for f in found]) if found else np.zeros(0, dtype=np.int32))
+                        arrays.append(np.frombuffer(b"".join([f[3] for f in found]), dtype=np.int32))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             cols = [b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             if with_ids:
