@@ -18,7 +18,6 @@ id is its smallest non-null doc_id; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,12 +26,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, keep
+from .common import components, keep, partitions
 
 KEY_BYTES = 4
 LIGHT = 1024
+GROUP = 512
+ROUNDS = 8
 _BLOCK = 1 << 16
+_ROWS = 128
 
 
 def fingerprint(text: bytes, shingle: int = 3, distinct: bool = False) -> int:
@@ -80,8 +83,13 @@ def _masks(max_bits: int) -> list[int]:
     return out
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def _near(f: np.ndarray, start: int, end: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j), i < j and i in start..end, whose tally of shared bytes and then whose bits pass."""
+    x = (f[start:end, None] ^ f[None, start:]).view(np.uint64)
+    tally = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
+    i, j = np.nonzero(np.triu(tally >= 8 - max_bits, 1))
+    ok = np.bitwise_count(x[i, j]) <= max_bits
+    return i[ok].astype(np.int32) + start, j[ok].astype(np.int32) + start
 
 
 def _verify(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
@@ -91,12 +99,9 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
         offsets, flat = np.asarray(b["fps"].offsets), np.asarray(b["fps"].values)
         for s, e in zip(offsets[:-1], offsets[1:], strict=True):
             f = np.sort(flat[s:e])
-            i, j = np.triu_indices(len(f), 1)
-            x = (f[i] ^ f[j]).view(np.uint64)
-            tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            x, i, j = x[ok := tally >= 8 - max_bits], i[ok], j[ok]
-            ok = _popcount(x) <= max_bits
-            i, j, root = i[ok], j[ok], np.arange(len(f))
+            near = [_near(f, at, at + _ROWS, max_bits) for at in range(0, len(f), _ROWS)]
+            i, j = (np.concatenate(x) for x in zip(*near, strict=True))
+            root = np.arange(len(f))
             while len(i):
                 least = root.copy()
                 np.minimum.at(least, i, root[j])
@@ -121,7 +126,8 @@ def _flips(fp: Column, most: int) -> Column:
 def links(distinct: DataFrame, max_bits: int = 2, light: int = LIGHT) -> DataFrame:
     """distinct(fp) -> edges (u, v) whose components are those of all pairs within max_bits differing bits."""
     keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("m")) for i, m in enumerate(_masks(max_bits))])
-    posts = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.m")
+    spread = distinct.repartition(partitions(distinct.sparkSession), "fp")  # few rows here, many after the explode
+    posts = spread.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.m")
     sizes = keep(posts.groupBy("c", "m").agg(F.count("*").alias("n")).where("n > 1"))
     lists = posts.join(sizes.where(F.col("n") <= light), ["c", "m"]).groupBy("c", "m").agg(F.collect_list("fp").alias("fps"))
     found = lists.select("fps").mapInArrow(lambda it: _verify(it, max_bits), "u long, v long")
@@ -149,23 +155,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, light:
     return fps.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_hashes(text: Column, shingle: int = 5) -> Column:
-    """Sorted distinct hashes of a text's word shingles (fewer words: of the whole sequence; none: an empty array)."""
-    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
-    rows = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")))
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(rows))
+def _with_shingles(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs(..., text) with `sh`, the sorted distinct hashes of the text's word shingles, for text."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("sh", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h64, join = xxhash.xxh64_intdigest, b" ".join
+        for b in batches:
+            out = []
+            for t in b["text"].cast(pa.binary()):
+                words = (t.as_py() or b"").lower().split()
+                rows = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words] * bool(words)
+                out.append(np.unique(np.fromiter((h64(join(r)) for r in rows), np.uint64)).view(np.int64))
+            kept = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in kept], pa.array(out, pa.list_(pa.int64()))], names=[*kept, "sh"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, at_least: float) -> bool:
+    n, m = len(a), len(b)
+    if not n or not m or min(n, m) < at_least * max(n, m):
+        return n == m
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= at_least * (n + m - both)
+
+
+def _greedy(t: pa.Table, at_least: float) -> pa.Table:
+    """Keys of a group's texts that are alike to one before them that stays."""
+    rows = t.select(["first", "key__"]).to_pylist()
+    sets = [np.asarray(x.values) if len(x.values) else np.zeros(0, np.int64) for x in t["sh"]]
+    stay, gone = [], []
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i]["first"] is None, rows[i]["first"] or 0, rows[i]["key__"])):
+        if any(_alike(sets[i], s, at_least) for s in stay):
+            gone.append(rows[i]["key__"])
+        else:
+            stay.append(sets[i])
+    return pa.table({"key__": pa.array(gone, pa.int64())})
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bits: int = 4) -> DataFrame:
     """docs without near-copies: a row goes when its text's word shingles are at least `at_least` alike (Jaccard) to
-    those of a row that stays.
+    those of an earlier row of its candidate group, by (doc_id, text hash), that stays.
 
-    Candidate groups are the SimHash components of distinct words within max_bits. In each group the row with the
-    smallest (doc_id, text hash) stays, those alike to it go, and the rest form the group of the next round. Exact
-    copies, repeated rows included, are one text throughout.
+    Candidate groups are the SimHash components of distinct words within max_bits. Groups of up to GROUP texts are
+    settled in one task. Larger ones are dealt by a min-hash of their shingles, ROUNDS times over with other hashes:
+    each time, texts alike to the first of their share go. Exact copies, repeated rows included, are one text.
     """
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     text_key = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
     keyed = docs.withColumn("key__", text_key)
     fps = keep(fingerprints(keyed.select(F.col("key__").alias("doc_id"), "text"), 1, True).withColumnRenamed("doc_id", "key__").distinct())
@@ -173,23 +210,19 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
     root = components(links(fps.select("fp").distinct(), max_bits))
     grouped = fps.join(root, fps.fp == root.u, "left").select("key__", F.coalesce("root", "fp").alias("group"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    many = keep(grouped.join(sizes.where("n > 1"), "group").join(ids, "key__").select("group", "key__", "first"))
-    texts = keyed.join(many.select("key__", "first"), "key__").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["key__"])
-    left = keep(texts.join(many.select("key__", "group"), "key__").select("group", "first", "key__", shingle_hashes(F.col("text"), shingle).alias("sh")))
-    gone = []
-    while not left.isEmpty():
-        order = F.struct(F.col("first").isNull(), "first", "key__")
-        heads = left.groupBy("group").agg(F.min_by(F.struct("key__", "sh"), order).alias("head"))
-        pairs = left.join(heads, "group").where(F.col("key__") != F.col("head.key__"))
+    many = keep(grouped.join(sizes.where("n > 1"), "group").join(ids, "key__").select("group", "n", "key__", "first"))
+    texts = keyed.join(many, "key__").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["key__"])
+    sets = keep(texts.select("group", "n", "first", "key__", "text").transform(_with_shingles, shingle))
+    gone = sets.where(F.col("n") <= GROUP).groupBy("group").applyInArrow(lambda t: _greedy(t, at_least), "key__ long")
+    left, order = sets.where(F.col("n") > GROUP), F.struct(F.col("first").isNull(), "first", "key__")
+    for number in range(0 if left.isEmpty() else ROUNDS):
+        dealt = left.withColumn("share", F.coalesce(F.array_min(F.transform("sh", lambda x: F.xxhash64(x, F.lit(number)))), F.lit(0)))
+        heads = dealt.groupBy("group", "share").agg(F.min_by(F.struct("key__", "sh"), order).alias("head"))
         both = F.size(F.array_intersect("sh", "head.sh"))
         alike = F.coalesce(F.try_divide(both, F.size("sh") + F.size("head.sh") - both), F.lit(1.0)) >= at_least
-        judged = keep(pairs.select("group", "first", "key__", "sh", alike.alias("alike")))
-        gone.append(judged.where("alike").select("key__"))
-        left = judged.where(~F.col("alike")).drop("alike")
-    stay = ids
-    for g in gone:
-        stay = stay.join(g, "key__", "left_anti")
-    out = keyed.join(keep(stay), "key__").where(F.col("doc_id").eqNullSafe(F.col("first")))
+        judged = keep(dealt.join(heads, ["group", "share"]).select(*left.columns, ((F.col("key__") != F.col("head.key__")) & alike).alias("alike")))
+        gone, left = gone.union(judged.where("alike").select("key__")), judged.where(~F.col("alike")).drop("alike")
+    out = keyed.join(keep(ids.join(gone, "key__", "left_anti")), "key__").where(F.col("doc_id").eqNullSafe(F.col("first")))
     if not ids.where("rows > 1").isEmpty():
         out = out.dropDuplicates(["key__"])
     return out.select(*columns)
