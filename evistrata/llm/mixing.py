@@ -75,7 +75,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     if not taken.where("rows__ > 1").isEmpty():
         keyed = keyed.dropDuplicates(["doc_id", "key__"])
     plan = taken.where("copies > 0").select(F.col("doc_id").alias("id__"), F.col("key__").alias("k__"), "copies")
-    out = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key__") == F.col("k__")))
+    out = keyed.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key__") == F.col("k__")))
     return out.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
 
 

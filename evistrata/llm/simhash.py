@@ -200,7 +200,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
 
     Candidate groups are the SimHash components of distinct words within max_bits. Groups of up to GROUP texts are
     settled in one task. Larger ones are dealt by a min-hash of their shingles, ROUNDS times over with other hashes:
-    each time, texts alike to the first of their share go. Exact copies, repeated rows included, are one text.
+    each time, texts alike to the first of their share go. Exact copies, repeated rows included, are one text. Joins that
+    carry texts are sort-merge joins at every size: their other sides grow with the corpus.
     """
     columns = docs.columns
     text_key = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
@@ -208,10 +209,10 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
     fps = keep(fingerprints(keyed.select(F.col("key__").alias("doc_id"), "text"), 1, True).withColumnRenamed("doc_id", "key__").distinct())
     ids = keep(keyed.groupBy("key__").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     root = components(links(fps.select("fp").distinct(), max_bits))
-    grouped = fps.join(root, fps.fp == root.u, "left").select("key__", F.coalesce("root", "fp").alias("group"))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    many = keep(grouped.join(sizes.where("n > 1"), "group").join(ids, "key__").select("group", "n", "key__", "first"))
-    texts = keyed.join(many, "key__").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["key__"])
+    grouped = keep(fps.join(root, fps.fp == root.u, "left").select("key__", F.coalesce("root", "fp").alias("group")))
+    sizes = keep(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    many = keep(grouped.join(sizes, "group").join(ids, "key__").select("group", "n", "key__", "first"))
+    texts = keyed.join(many.hint("merge"), "key__").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["key__"])
     sets = keep(texts.select("group", "n", "first", "key__", "text").transform(_with_shingles, shingle))
     gone = sets.where(F.col("n") <= GROUP).groupBy("group").applyInArrow(lambda t: _greedy(t, at_least), "key__ long")
     left, order = sets.where(F.col("n") > GROUP), F.struct(F.col("first").isNull(), "first", "key__")
@@ -222,7 +223,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
         alike = F.coalesce(F.try_divide(both, F.size("sh") + F.size("head.sh") - both), F.lit(1.0)) >= at_least
         judged = keep(dealt.join(heads, ["group", "share"]).select(*left.columns, ((F.col("key__") != F.col("head.key__")) & alike).alias("alike")))
         gone, left = gone.union(judged.where("alike").select("key__")), judged.where(~F.col("alike")).drop("alike")
-    out = keyed.join(keep(ids.join(gone, "key__", "left_anti")), "key__").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    out = keyed.join(keep(ids.join(gone, "key__", "left_anti")).hint("merge"), "key__").where(F.col("doc_id").eqNullSafe(F.col("first")))
     if not ids.where("rows > 1").isEmpty():
         out = out.dropDuplicates(["key__"])
     return out.select(*columns)
