@@ -74,9 +74,9 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     taken = keep(mix(rows, **options).select("doc_id.doc_id", "doc_id.key__", "copies").groupBy("doc_id", "key__").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows__")))
     if not taken.where("rows__ > 1").isEmpty():
         keyed = keyed.dropDuplicates(["doc_id", "key__"])
-    plan = taken.where("copies > 0").select(F.col("doc_id").alias("id__"), F.col("key__").alias("k__"), "copies")
+    plan = taken.where("copies > 0").select(F.col("doc_id").alias("id__"), F.col("key__").alias("k__"), F.col("copies").alias("copies__"))
     out = keyed.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key__") == F.col("k__")))
-    return out.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    return out.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int")))).select(*columns)
 
 
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,22 @@ def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return out.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """op4 in DuckDB: every rule on every text, positions from running sums of gaps and matches."""
+    q = lambda p: p.replace("'", "''")
+    parts = [
+        f"""SELECT doc_id, {k} AS kind, unnest(range(0, len(m))) AS i, unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(z[1:len(m)], lambda x: length(x))) AS gap,
+        unnest(list_transform(s, lambda x: length(x))) >= {least} AS ok FROM (SELECT doc_id, regexp_extract_all(text, '{q(p)}') AS m, string_split_regex(text, '{q(p)}') AS z, regexp_extract_all(text, '{q(p)}', {group}) AS s FROM d)"""
+        for k, (_, p, least, group) in enumerate(RULES.values())
+    ]
+    count = ", ".join(f"count(*) FILTER (kind = {KINDS.index(k)}) AS n_{k}" for k in BASE)
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END || ':' || (e - n) || ':' || e"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), u AS ({" UNION ALL ".join(parts)}),
+    f AS (SELECT doc_id, kind, n, e FROM (SELECT *, (sum(n + gap) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS e FROM u) WHERE ok),
+    g AS (SELECT doc_id, {count}, string_agg({name}, ',' ORDER BY e - n, kind) FILTER (kind < {len(BASE)}) AS base, string_agg({name}, ',' ORDER BY e - n, kind) AS spans FROM f GROUP BY 1)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE_SQL = _oracle()

@@ -126,7 +126,7 @@ def _flips(fp: Column, most: int) -> Column:
 def links(distinct: DataFrame, max_bits: int = 2, light: int = LIGHT) -> DataFrame:
     """distinct(fp) -> edges (u, v) whose components are those of all pairs within max_bits differing bits."""
     keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("m")) for i, m in enumerate(_masks(max_bits))])
-    spread = distinct.repartition(partitions(distinct.sparkSession), "fp")  # few rows here, many after the explode
+    spread = distinct.repartition(partitions(distinct.sparkSession), F.xxhash64("fp"))  # few rows here, many after the explode
     posts = spread.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.m")
     sizes = keep(posts.groupBy("c", "m").agg(F.count("*").alias("n")).where("n > 1"))
     lists = posts.join(sizes.where(F.col("n") <= light), ["c", "m"]).groupBy("c", "m").agg(F.collect_list("fp").alias("fps"))
@@ -218,7 +218,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
     left, order = sets.where(F.col("n") > GROUP), F.struct(F.col("first").isNull(), "first", "key__")
     for number in range(0 if left.isEmpty() else ROUNDS):
         dealt = left.withColumn("share", F.coalesce(F.array_min(F.transform("sh", lambda x: F.xxhash64(x, F.lit(number)))), F.lit(0)))
-        heads = dealt.groupBy("group", "share").agg(F.min_by(F.struct("key__", "sh"), order).alias("head"))
+        heads = keep(dealt.groupBy("group", "share").agg(F.min_by(F.struct("key__", "sh"), order).alias("head")))
         both = F.size(F.array_intersect("sh", "head.sh"))
         alike = F.coalesce(F.try_divide(both, F.size("sh") + F.size("head.sh") - both), F.lit(1.0)) >= at_least
         judged = keep(dealt.join(heads, ["group", "share"]).select(*left.columns, ((F.col("key__") != F.col("head.key__")) & alike).alias("alike")))
