@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters folded one to one.
@@ -57,14 +57,23 @@ def normalize(text: Column) -> Column:
     """The whole cleaning chain. Intra-word hyphens vanish and fuse their words; the chain isn't idempotent."""
     out = F.regexp_replace(F.lower(fold(text)), r"(?U)\bet\s+al\b", " ")
     for u in UNITS:
-        out = F.replace(out, F.lit(u), F.lit(" "))
+        if len(u) > 1:
+            out = F.replace(out, F.lit(u), F.lit(" "))
+    single = "".join(dict.fromkeys(u for u in UNITS if len(u) == 1))  # each comes after the longer ones that hold it
+    out = F.translate(out, single, " " * len(single))
     out = F.regexp_replace(out, "(?iU)(" + "|".join(SYNONYMS) + ")", f" {ENTITY} ")
     out = F.regexp_replace(out, r"(?U)\bals\b", f" {ENTITY} ")
     for pattern, by in CLEANING:
-        out = F.regexp_replace(out, f"(?U){pattern}", by)
+        ascii_only = pattern in (r"\b\d+\b", r"\bh4\b", r"\b[a-zA-Z0-9]\b", r"-{2,}")
+        out = F.regexp_replace(out, pattern if ascii_only else f"(?U){pattern}", by)
     return F.trim(out)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a costly column that filters and projections above can't have computed again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def long_enough(text: Column) -> Column:
     return (F.char_length(text) > MIN_CHARS) & (F.size(F.split(text, " ")) > MIN_TOKENS)
 

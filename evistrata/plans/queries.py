@@ -51,8 +51,7 @@ NORMAL = f"SELECT doc_id, {_sql_text('text')} AS norm FROM documents"
 
 @query(f"SELECT doc_id, md5(norm) AS digest, length(norm) AS n FROM ({NORMAL})")
 def text_normalize(t) -> DataFrame:
-    norm = X.normalize(_ascii("text"))
-    return t("documents").select("doc_id", norm.alias("norm")).select("doc_id", F.md5("norm").alias("digest"), F.char_length("norm").cast("long").alias("n"))
+    return X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(_ascii("text"))).select("doc_id", F.md5("norm").alias("digest"), F.char_length("norm").cast("long").alias("n"))
 
 
 @query(
@@ -61,7 +60,7 @@ def text_normalize(t) -> DataFrame:
     AND NOT regexp_matches(norm, '(?i)\\b({"|".join(X.EXCLUDED)})\\b')) WHERE r = 1"""
 )
 def corpus_filter_dedup(t) -> DataFrame:
-    norm = t("documents").select("doc_id", X.normalize(_ascii("text")).alias("norm"))
+    norm = X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(_ascii("text"))).select("doc_id", "norm")
     kept = norm.where(X.long_enough(F.col("norm")) & ~X.is_excluded(F.col("norm")))
     first = kept.groupBy(F.sha2("norm", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.size(F.split("norm", " ")), "doc_id").alias("n"))
     return first.select("doc_id", F.col("n").cast("long").alias("n_tokens"))
