@@ -63,3 +63,88 @@ def project(vectors: DataFrame, column: str, model: tuple, name: str = "pcs") ->
     shift = weights @ mean
     parts = [F.aggregate(F.zip_with(column, F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) - float(s) for row, s in zip(weights, shift, strict=True)]
     return vectors.withColumn(name, F.array(*parts))
+
+
+def balanced_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, l1_share: float = 0.0) -> tuple[np.ndarray, float] | None:
+    """Coefficients and intercept on raw features of a class-balanced logistic regression in the 1 / C form, fitted on
+    features standardised with population deviations; null without both classes."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    stats = train.agg(F.count("*").alias("n"), F.sum(label).alias("p"), *[f(x).alias(f"{k}_{x}") for x in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    n, p = stats["n"], stats["p"] or 0
+    if not 0 < p < n:
+        return None
+    mean = np.array([stats[f"m_{x}"] for x in features])
+    scale = np.array([stats[f"s_{x}"] or 1.0 for x in features])
+    z = train.select(F.col(label).cast("double").alias("label"), F.when(F.col(label) == 1, n / (2 * p)).otherwise(n / (2 * (n - p))).alias("w"), *[((F.col(x) - float(m)) / float(s)).alias(x) for x, m, s in zip(features, mean, scale, strict=True)])
+    fit = LogisticRegression(weightCol="w", regParam=1 / (c * n), elasticNetParam=l1_share, standardization=False, maxIter=200, tol=1e-10).fit(VectorAssembler(inputCols=features, outputCol="features").transform(z))
+    coef = fit.coefficients.toArray() / scale
+    return coef, float(fit.intercept - coef @ mean)
+
+
+def cross_validated_scores(df: DataFrame, fold: str, folds: int, features: list[str], label: str, **options) -> DataFrame:
+    """Every row scored by the model of the other folds; folds whose training rows lack a class are skipped."""
+    df = df.withColumn("fold__", F.col(fold))
+    score = F.lit(None).cast("double")
+    for k in range(folds):
+        model = balanced_logistic(df.where(F.col("fold__") != k), features, label, **options)
+        if model is not None:
+            linear = sum((F.col(x) * float(w) for x, w in zip(features, model[0], strict=True)), F.lit(model[1]))
+            score = F.when(F.col("fold__") == k, linear).otherwise(score)
+    return df.withColumn("linear_score", score).drop("fold__")
+
+
+def offset_logistic(df: DataFrame, vector: str, offset: str, label: str, l1: float = 0.0, l2: float = 0.0, iterations: int = 100, tolerance: float = 1e-7) -> np.ndarray:
+    """Weights w of sigmoid(offset + x.w) by proximal gradient, without intercept. Rows without a vector add nothing.
+
+    Every iteration is one pass that sends a gradient of the vector's length from each task.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), F.col(offset).cast("double").alias("o"), F.col(label).cast("double").alias("y")).persist()
+    try:
+        size = rows.agg(F.max(F.size("x")), F.count("*"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()
+        d, n = size[0] or 0, size[1]
+        w = np.zeros(d)
+        if not n:
+            return w
+        step = 1 / (size[2] / (4 * n) + l2)  # the trace bounds the largest eigenvalue
+        for _ in range(iterations):
+
+            def gradient(batches, w=w):
+                import pyarrow as pa
+
+                g = np.zeros(d)
+                for b in batches:
+                    x = np.asarray(b["x"].flatten(), dtype=float).reshape(-1, d)
+                    p = 1 / (1 + np.exp(-np.clip(np.asarray(b["o"]) + x @ w, -50, 50)))
+                    g += x.T @ (p - np.asarray(b["y"]))
+                yield pa.RecordBatch.from_pydict({"g": [g.tolist()]})
+
+            g = np.sum([r["g"] for r in rows.mapInArrow(gradient, "g array<double>").collect()], axis=0) / n + l2 * w
+            moved = w - step * g
+            moved = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
+            if np.abs(moved - w).max() < tolerance:
+                return moved
+            w = moved
+        return w
+    finally:
+        rows.unpersist()
+
+
+def sparsest_within(bench: DataFrame, metric: str, sparsity: str, tolerance: float, ties: list) -> DataFrame:
+    """The row with the fewest non-zero coefficients among those within `tolerance` of the best metric."""
+    best = bench.agg(F.max(metric).alias("best__"))
+    return bench.join(F.broadcast(best)).where(F.col(metric) >= F.col("best__") - tolerance).drop("best__").orderBy(sparsity, *ties).limit(1)
+
+
+def bootstrap(df: DataFrame, key: str, resamples: int, statistic, seed: int = 42) -> DataFrame:
+    """One row per resample of statistic (an aggregate of the weight column `w`): Poisson(1) weights by hash of the key,
+    so no resample is ever gathered in one place."""
+    u = (F.pmod(F.xxhash64(F.col(key), "resample", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    cuts, total, p = [], 0.0, float(np.exp(-1))
+    for k in range(8):
+        total += p
+        p /= k + 1
+        cuts.append(total)
+    w = sum(((u > c).cast("int") for c in cuts), F.lit(0))
+    return df.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", w).groupBy("resample").agg(statistic.alias("statistic"))

@@ -541,3 +541,116 @@ def correlation_matrix(t) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     row = t("lineitem").agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.corr(a, b)).alias("r")) for a, b in pairs]).alias("x"))
     return row.select(F.inline("x"))
+
+
+THEMES = {"articles": ["the ", "der ", "les "], "joins": [" and ", " und ", " et "], "license": ["license", "rights reserved"]}
+
+
+@query(
+    """SELECT doc_id, concat_ws('|', """
+    + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(lower(text), '{w}')''' for w in ws)} THEN '{k}' END" for k, ws in THEMES.items())
+    + ") AS themes FROM documents"
+)
+def keyword_themes(t) -> DataFrame:
+    return t("documents").select("doc_id", F.array_join(X.themes(F.col("text"), THEMES), "|").alias("themes"))
+
+
+@query(
+    """SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus <> 'F') AS first_open, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|') AS priorities, count(*) AS n FROM orders GROUP BY 1"""
+)
+def locus_reference(t) -> DataFrame:
+    open_ = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).otherwise("")
+    return t("orders").groupBy("o_custkey").agg(S.first_filled(open_, F.col("o_orderkey")).alias("first_open"), S.unique_join(F.col("o_orderpriority")).alias("priorities"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT l_returnflag AS family, (l_quantity - 25) / 14 * 0.8 AS x FROM lineitem UNION ALL SELECT l_linestatus, (l_discount - 0.05) / 0.03 * -1.2 FROM lineitem),
+    f AS (SELECT family, sum(x) AS s, sum(abs(x)) AS a FROM c GROUP BY 1) SELECT family, round(s, 3) AS signed_sum, round(a, 3) AS abs_sum, round(100 * a / sum(a) OVER (), 6) AS pct FROM f"""
+)
+def family_contributions(t) -> DataFrame:
+    parts, _ = models.linear_score({"q": (F.col("l_quantity"), 25, 14, 0.8), "d": (F.col("l_discount"), 0.05, 0.03, -1.2)}, 0.0)
+    long = t("lineitem").select(F.explode(F.array(F.struct(F.col("l_returnflag").alias("family"), parts["q"].alias("x")), F.struct(F.col("l_linestatus").alias("family"), parts["d"].alias("x")))).alias("c")).select("c.*")
+    sums = long.groupBy("family").agg(F.sum("x").alias("s"), F.sum(F.abs("x")).alias("a"))
+    return sums.join(F.broadcast(sums.agg(F.sum("a").alias("total")))).select("family", F.round("s", 3).alias("signed_sum"), F.round("a", 3).alias("abs_sum"), r6(100 * F.col("a") / F.col("total")).alias("pct"))
+
+
+@query(
+    f"""WITH d AS ({_TWO}), q AS (SELECT quantile_cont(a, 0.8) AS qa, quantile_cont(b, 0.8) AS qb FROM d)
+    SELECT k, CASE WHEN a >= qa AND b >= qb THEN 'shared' WHEN a >= qa THEN 'first' WHEN b >= qb THEN 'second' ELSE 'rest' END AS pool FROM d, q"""
+)
+def quantile_pools(t) -> DataFrame:
+    d = _two(t)
+    q = d.agg(F.percentile("a", 0.8).alias("qa"), F.percentile("b", 0.8).alias("qb"))
+    a, b = F.col("a") >= F.col("qa"), F.col("b") >= F.col("qb")
+    return d.join(F.broadcast(q)).select("k", F.when(a & b, "shared").when(a, "first").when(b, "second").otherwise("rest").alias("pool"))
+
+
+@query("SELECT count(*) FILTER (s >= 0.9) AS ge_90, count(*) FILTER (s >= 0.8) AS ge_80, count(*) FILTER (s >= 0.7) AS ge_70, count(*) FILTER (s >= 0.6) AS ge_60, round(quantile_cont(s, 0.99), 6) AS q99 FROM (SELECT (c_acctbal + 1000) / 11000 AS s FROM customer)")
+def score_cut_counts(t) -> DataFrame:
+    s = t("customer").select(((F.col("c_acctbal") + 1000) / 11000).alias("s"))
+    return s.agg(*[F.count_if(F.col("s") >= c / 100).alias(f"ge_{c}") for c in (90, 80, 70, 60)], r6(F.percentile("s", 0.99)).alias("q99"))
+
+
+@query(
+    """WITH s AS (SELECT p_brand, sum(p_retailprice) AS x FROM part GROUP BY 1) SELECT p_brand, round(x / sum(x) OVER (), 6) AS share,
+    round(sum(x) OVER (ORDER BY round(x, 2) DESC, p_brand ROWS UNBOUNDED PRECEDING) / sum(x) OVER (), 6) AS cumulative FROM s"""
+)
+def cumulative_share(t) -> DataFrame:
+    s = t("part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("x"))
+    order = Window.orderBy(F.round("x", 2).desc(), "p_brand").rowsBetween(Window.unboundedPreceding, 0)  # one row per brand
+    total = F.broadcast(s.agg(F.sum("x").alias("total")))
+    return s.join(total).select("p_brand", r6(F.col("x") / F.col("total")).alias("share"), r6(F.sum("x").over(order) / F.col("total")).alias("cumulative"))
+
+
+@query(
+    """WITH r AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS hi, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS lo FROM customer)
+    SELECT c_mktsegment, 'top' AS side, hi AS "rank", c_custkey FROM r WHERE hi <= 5 UNION ALL SELECT c_mktsegment, 'bottom', lo, c_custkey FROM r WHERE lo <= 5"""
+)
+def extremes(t) -> DataFrame:
+    c = t("customer").select("c_mktsegment", "c_custkey", F.col("c_acctbal").alias("hi"), (-F.col("c_acctbal")).alias("lo"))
+    side = lambda s, n: ranking.top_k(c, ["c_mktsegment"], s, ["c_custkey"], 5).select("c_mktsegment", F.lit(n).alias("side"), F.col("rank").cast("long").alias("rank"), "c_custkey")
+    return side("hi", "top").union(side("lo", "bottom"))
+
+
+@query(
+    """SELECT p_name, count(*) AS n, min(p_partkey) AS first_id, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'ambiguous_first_pick' END AS status FROM part GROUP BY 1"""
+)
+def ambiguous_first_pick(t) -> DataFrame:
+    ids = t("part").groupBy("p_name").agg(F.sort_array(F.collect_set("p_partkey")).alias("ids"))
+    n = F.size("ids")
+    return ids.select("p_name", n.cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), F.when(n == 1, "unique").otherwise("ambiguous_first_pick").alias("status"))
+
+
+@query(
+    """WITH b AS (SELECT s_suppkey AS c, round(s_acctbal / 10000, 1) AS metric, s_nationkey AS nonzero FROM supplier) SELECT c, metric, nonzero FROM b WHERE metric >= (SELECT max(metric) FROM b) - 0.2 ORDER BY nonzero, metric DESC, c LIMIT 1"""
+)
+def l1_selection(t) -> DataFrame:
+    b = t("supplier").select(F.col("s_suppkey").alias("c"), F.round(F.col("s_acctbal") / 10000, 1).alias("metric"), F.col("s_nationkey").alias("nonzero"))
+    return models.sparsest_within(b, "metric", "nonzero", 0.2, [F.desc("metric"), "c"])
+
+
+def _labelled(t) -> DataFrame:
+    d = t("documents").select("doc_id", "text", "n_chars").join(t("labels").select("doc_id", "quality"), "doc_id")
+    upper = F.char_length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.greatest(F.col("n_chars"), F.lit(1))
+    marks = F.char_length(F.regexp_replace("text", r"[\p{L}\s]", "")) / F.greatest(F.col("n_chars"), F.lit(1))
+    return d.select("doc_id", (F.pmod("doc_id", F.lit(5))).cast("int").alias("fold"), F.log1p("n_chars").alias("length"), upper.alias("upper"), marks.alias("marks"), F.col("quality").cast("int").alias("y"))
+
+
+@query()
+def lr_cv(t) -> DataFrame:
+    out = models.cross_validated_scores(_labelled(t), "fold", 5, ["length", "upper", "marks"], "y")
+    return out.select("doc_id", "fold", "y", F.round(S.sigmoid(F.col("linear_score")), 4).alias("probability"))
+
+
+@query()
+def residual_offset(t) -> DataFrame:
+    d = _labelled(t).withColumn("x", F.array(F.col("upper") * 10, F.col("marks") * 10)).withColumn("o", F.lit(0.5) - F.col("length") / 20)
+    w = models.offset_logistic(d, "x", "o", "y", l1=0.001, iterations=30)
+    return d.sparkSession.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(w)], "feature int, weight double")
+
+
+@query()
+def bootstrap_std(t) -> DataFrame:
+    d = t("labels").select("doc_id", F.col("quality").cast("double").alias("q"))
+    out = models.bootstrap(d, "doc_id", 200, F.try_divide(F.sum(F.col("w") * F.col("q")), F.sum("w")))
+    return out.agg(F.count("*").alias("resamples"), r6(F.avg("statistic")).alias("mean"), r6(F.stddev_pop("statistic")).alias("sd"))
