@@ -31,7 +31,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     held = docs.withColumn("blob__", secrets.blob_id(F.coalesce("text", F.lit(""))))
     spans = keep(secrets.by_blob(findings).select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__")))
     text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans__")))
-    out = held.join(spans.hint("merge"), "blob__", "left")  # the same plan at every size: findings grow with the corpus.withColumn("text", text)
+    # A merge join at every size: findings grow with the corpus.
+    out = held.join(spans.hint("merge"), "blob__", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
