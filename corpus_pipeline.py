@@ -30,7 +30,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     _, findings, _ = secrets.scan(docs)
     held = docs.withColumn("blob__", secrets.blob_id(F.coalesce("text", F.lit(""))))
     spans = keep(secrets.by_blob(findings).select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__")))
-    text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans__")))
+    text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), secrets.covered(F.col("text"), F.col("spans__"))))
     # A merge join at every size: findings grow with the corpus.
     out = held.join(spans.hint("merge"), "blob__", "left").withColumn("text", text)
     if "n_chars" in docs.columns:

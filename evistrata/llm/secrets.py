@@ -9,7 +9,8 @@ code points; the sum is a window over the matches of one blob and rule.
 
 Defined cases: null text = empty text (no findings); equal texts share findings; null doc_id is carried; repeated rows
 each get a result; an empty table gives an empty result; other columns are ignored. Spans of different rules may
-overlap; `redact` removes their union.
+overlap; `redact` removes their union. The pem rule finds the BEGIN line, which is what op4 lists; `covered` extends
+its span over what must not stay: up to the END line, or over the base64 block where no END line follows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,14 @@ RULES: dict[str, tuple[int, str, int, int]] = {
 }
 BASE = ("assign", "access", "hex")
 KINDS = list(RULES)
+KEY_END = r"^-{5,}END [A-Z ]*PRIVATE KEY-{5,}"
+_GAP = r"(?:\s|\\[nr])"  # line ends may be written out, as in JSON
+_KEY_WORDS = (
+    r"(?:Proc-Type|DEK-Info):", r"4,[A-Z-]+", r"[A-Z0-9-]+,[0-9A-Fa-f]{8,}", r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9+/]+={1,2}",
+    r"(?<=[A-Za-z0-9+/]{20}(?:\r?\n|(?:\\r)?\\n))[A-Za-z0-9+/]+(?=[\r\n\\]|$)",
+)
+#: The first gap before a word that no key body holds.
+KEY_STOP = rf"{_GAP}(?!{_GAP}|$|(?:{'|'.join(_KEY_WORDS)})(?:{_GAP}|$))"
 
 
 def blob_id(text: Column) -> Column:
@@ -84,6 +93,21 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def covered(text: Column, spans: Column) -> Column:
+    """spans with those of pem reaching to the end of the key: its END line if that is the next marker, or its body."""
+
+    def reach(s: Column) -> Column:
+        rest = F.substr(text, (s["end"] + 1).cast("int"), F.char_length(text))
+        marker = F.instr(rest, "-----")
+        closing = F.char_length(F.regexp_extract(F.substr(rest, F.greatest(marker, F.lit(1)), F.char_length(rest)), KEY_END, 0))
+        stop = F.regexp_instr(F.concat(F.lit(" "), rest), F.lit(KEY_STOP))
+        body = F.when(stop == 0, F.char_length(rest)).otherwise(F.greatest(stop - 2, F.lit(0)))
+        return F.when((marker > 0) & (closing > 0), marker - 1 + closing).otherwise(body)
+
+    pem = KINDS.index("pem")
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.when(s["kind"] == pem, s["end"] + reach(s)).otherwise(s["end"]).alias("end")))
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text without the union of its spans (sorted by start), each run of overlapping spans replaced by one mark."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
