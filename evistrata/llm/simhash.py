@@ -24,16 +24,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, keep, partitions
+from .common import components, keep, partitions, running
 
 KEY_BYTES = 4
 LIGHT = 1024
 GROUP = 512
-ROUNDS = 8
 _BLOCK = 1 << 16
 _ROWS = 128
 
@@ -181,17 +180,57 @@ def _alike(a: np.ndarray, b: np.ndarray, at_least: float) -> bool:
     return both >= at_least * (n + m - both)
 
 
-def _greedy(t: pa.Table, at_least: float) -> pa.Table:
-    """Keys of a group's texts that are alike to one before them that stays."""
+def _greedy(t: pa.Table, at_least: float) -> tuple[pa.Array, pa.Array]:
+    """Row numbers of a group's texts that stay, and of those that are alike to one before them that stays."""
     rows = t.select(["first", "key__"]).to_pylist()
     sets = [np.asarray(x.values) if len(x.values) else np.zeros(0, np.int64) for x in t["sh"]]
     stay, gone = [], []
     for i in sorted(range(len(rows)), key=lambda i: (rows[i]["first"] is None, rows[i]["first"] or 0, rows[i]["key__"])):
-        if any(_alike(sets[i], s, at_least) for s in stay):
-            gone.append(rows[i]["key__"])
-        else:
-            stay.append(sets[i])
-    return pa.table({"key__": pa.array(gone, pa.int64())})
+        (gone if any(_alike(sets[i], sets[j], at_least) for j in stay) else stay).append(i)
+    return pa.array(stay, pa.int64()), pa.array(gone, pa.int64())
+
+
+def _unlike(t: pa.Table, others: pa.Table, at_least: float) -> pa.Table:
+    """The rows of t that are alike to none of the others, by postings of the others' shingles."""
+    sizes = np.fromiter((len(x.values) if x.is_valid else 0 for x in others["sh"]), np.int64, count=len(others))
+    flat = np.concatenate([np.asarray(x.values, dtype=np.int64) for x in others["sh"] if len(x.values)] or [np.zeros(0, np.int64)])
+    order = np.argsort(flat, kind="stable")
+    shingles, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    rest = []
+    for x in t["sh"]:
+        own = np.asarray(x.values, dtype=np.int64)
+        low, high = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        both = np.bincount(owner[at], minlength=len(sizes))
+        rest.append(not (both >= at_least * (len(own) + sizes - both)).any())
+    return t.filter(pa.array(rest, pa.bool_()))
+
+
+def _settled(large: DataFrame, at_least: float) -> DataFrame:
+    """Keys of the texts of groups over GROUP that stay by the rule of _greedy, applied to the whole group.
+
+    A group's texts, in order, are cut into chunks of GROUP. In each round the first chunks that still hold no more than
+    GROUP texts together are settled in one task a group, and each later chunk is freed, in a task of its own, from
+    texts alike to one of those that stay. No text is passed over and no pairs are listed.
+    """
+    spark = large.sparkSession
+    ranked = keep(running(large.select("group", F.col("first").isNull().alias("null__"), "first", "key__"), ["group", "null__", "first", "key__"], {}))
+    starts = ranked.groupBy("group").agg(F.min("row_index").alias("start"))
+    chunks = ranked.join(starts, "group").select("key__", F.floor((F.col("row_index") - F.col("start")) / GROUP).alias("chunk"))
+    left = keep(large.select("group", "first", "key__", "sh").join(chunks.hint("merge"), "key__").select("group", "chunk", "first", "key__", "sh"))
+    stay = spark.createDataFrame([], "key__ long")
+    while not left.isEmpty():
+        counts = left.groupBy("group", "chunk").agg(F.count("*").alias("n"))
+        due = keep(counts.select("group", "chunk", (F.sum("n").over(Window.partitionBy("group").orderBy("chunk")) <= GROUP).alias("due")))
+        block = left.join(due.where("due").hint("merge"), ["group", "chunk"]).select("group", "first", "key__", "sh")
+        kept = keep(block.groupBy("group").applyInArrow(lambda t: t.take(_greedy(t, at_least)[0]), block.schema))
+        stay = stay.union(kept.select("key__"))
+        later = due.where("not due").select("group", "chunk")
+        heads = kept.join(later, "group").select("group", "chunk", "sh")
+        waiting = left.join(later.hint("merge"), ["group", "chunk"]).select(*left.columns)
+        left = keep(waiting.groupBy("group", "chunk").cogroup(heads.groupBy("group", "chunk")).applyInArrow(lambda t, others: _unlike(t, others, at_least), left.schema))
+    return stay
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bits: int = 4) -> DataFrame:
@@ -199,9 +238,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
     those of an earlier row of its candidate group, by (doc_id, text hash), that stays.
 
     Candidate groups are the SimHash components of distinct words within max_bits. Groups of up to GROUP texts are
-    settled in one task. Larger ones are dealt by a min-hash of their shingles, ROUNDS times over with other hashes:
-    each time, texts alike to the first of their share go. Exact copies, repeated rows included, are one text. Joins that
-    carry texts are sort-merge joins at every size: their other sides grow with the corpus.
+    settled in one task, larger ones by the same rule in rounds (see _settled). Exact copies, repeated rows included, are
+    one text. Joins that carry texts are sort-merge joins at every size: their other sides grow with the corpus.
     """
     columns = docs.columns
     text_key = F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
@@ -214,15 +252,10 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = 0.8, max_bi
     many = keep(grouped.join(sizes, "group").join(ids, "key__").select("group", "n", "key__", "first"))
     texts = keyed.join(many.hint("merge"), "key__").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["key__"])
     sets = keep(texts.select("group", "n", "first", "key__", "text").transform(_with_shingles, shingle))
-    gone = sets.where(F.col("n") <= GROUP).groupBy("group").applyInArrow(lambda t: _greedy(t, at_least), "key__ long")
-    left, order = sets.where(F.col("n") > GROUP), F.struct(F.col("first").isNull(), "first", "key__")
-    for number in range(0 if left.isEmpty() else ROUNDS):
-        dealt = left.withColumn("share", F.coalesce(F.array_min(F.transform("sh", lambda x: F.xxhash64(x, F.lit(number)))), F.lit(0)))
-        heads = keep(dealt.groupBy("group", "share").agg(F.min_by(F.struct("key__", "sh"), order).alias("head")))
-        both = F.size(F.array_intersect("sh", "head.sh"))
-        alike = F.coalesce(F.try_divide(both, F.size("sh") + F.size("head.sh") - both), F.lit(1.0)) >= at_least
-        judged = keep(dealt.join(heads, ["group", "share"]).select(*left.columns, ((F.col("key__") != F.col("head.key__")) & alike).alias("alike")))
-        gone, left = gone.union(judged.where("alike").select("key__")), judged.where(~F.col("alike")).drop("alike")
+    small, large = sets.where(F.col("n") <= GROUP), sets.where(F.col("n") > GROUP)
+    gone = small.groupBy("group").applyInArrow(lambda t: t.select(["key__"]).take(_greedy(t, at_least)[1]), "key__ long")
+    if not large.isEmpty():
+        gone = gone.union(large.select("key__").join(_settled(large, at_least), "key__", "left_anti"))
     out = keyed.join(keep(ids.join(gone, "key__", "left_anti")).hint("merge"), "key__").where(F.col("doc_id").eqNullSafe(F.col("first")))
     if not ids.where("rows > 1").isEmpty():
         out = out.dropDuplicates(["key__"])

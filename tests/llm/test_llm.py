@@ -106,6 +106,31 @@ def test_deduplicate_large_groups(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.deduplicate(docs).collect()] == [0]
 
 
+@pytest.mark.parametrize("size", [40, 41])
+def test_deduplicate_shared_passage(spark, monkeypatch, size):
+    """At both sides of GROUP: near copies among unlike texts that share a passage, and chains, by the greedy rule."""
+    monkeypatch.setattr(simhash, "GROUP", 40)
+    monkeypatch.setattr(simhash, "links", lambda fps, bits: fps.select(F.col("fp").alias("u"), F.lit(-(1 << 63)).alias("v")))
+    rng, passage, texts = random.Random(7), [f"p{i}" for i in range(120)], []
+    for k in range(12):
+        own = [f"o{k}x{i}" for i in range(40)]
+        texts += [[*passage, *own], [*passage, *own[:-4], *[f"c{k}x{i}" for i in range(4)]]]
+    chain = [f"s{i}" for i in range(160)]
+    texts += [[*[f"t{k}x{i}" for i in range(9 * k)], *chain[9 * k :]] for k in range(8)]
+    texts += [[], [" "], *[[f"f{i}x{k}" for k in range(60)] for i in range(size - 34)]]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    assert len(texts) == size == len(set(texts))
+    docs = spark.createDataFrame([(i or None, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    stay = []
+    for i in [*range(1, size), 0]:
+        if not any(s == x or len(s & x) >= 0.8 * len(s | x) for x, s in ((x, shingles_of(texts[i])) for _, x in stay)):
+            stay.append((i, shingles_of(texts[i])))
+    assert Counter(r["doc_id"] or 0 for r in simhash.deduplicate(docs).collect()) == Counter(i for i, _ in stay)
+    assert len(stay) < size - 13
+    assert simhash.deduplicate(docs.where("doc_id in (1, 2)")).count() == sum(i in (1, 2) for i, _ in stay) == 2
+
+
 def test_spotsigs(spark):
     docs, rows = make_docs(spark)
     out = spotsigs.with_next(spotsigs.fingerprints(docs), "doc_id", ["text", "sigs"], groups=7)
