@@ -193,6 +193,22 @@ def fallback_join(t) -> DataFrame:
     return joins.fallback_join(part, first, second, F.col("p_partkey"), F.col("p_brand"), ["n", "q"], ("matched_by_id", "matched_by_symbol_fallback"))
 
 
+@query(
+    """WITH a AS (SELECT l_partkey AS k, count(*) AS n, round(max(l_quantity), 6) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1),
+    b AS (SELECT p_brand AS k, count(*) AS n, round(max(l_quantity), 6) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY 1)
+    SELECT p_partkey, p_brand, CASE WHEN a.k IS NOT NULL THEN a.n ELSE b.n END AS n, CASE WHEN a.k IS NOT NULL THEN a.q ELSE b.q END AS q,
+    CASE WHEN a.k IS NOT NULL THEN 'matched_by_id' WHEN b.k IS NOT NULL THEN 'matched_by_symbol_fallback' ELSE 'unmatched' END AS status
+    FROM part LEFT JOIN a ON p_partkey = a.k LEFT JOIN b ON p_brand = b.k"""
+)
+def fallback_join_all(t) -> DataFrame:
+    """fallback_join with every part on the fallback side."""
+    li, part = t("lineitem"), t("part").select("p_partkey", "p_brand")
+    roll = lambda d, k, name: d.groupBy(F.col(k).alias(name)).agg(F.count("*").alias("n"), r6(F.max("l_quantity")).alias("q"))
+    first = roll(li.where("l_returnflag = 'R' and l_quantity > 45"), "l_partkey", "k1")
+    second = roll(li.where("l_returnflag = 'A'").join(part, F.col("l_partkey") == F.col("p_partkey")), "p_brand", "k2")
+    return joins.fallback_join(part, first, second, F.col("p_partkey"), F.col("p_brand"), ["n", "q"], ("matched_by_id", "matched_by_symbol_fallback"))
+
+
 @query(
     """WITH q AS (SELECT DISTINCT c_nationkey AS query FROM customer), m AS (
     SELECT c_nationkey AS query, 1 AS priority, c_custkey AS target FROM customer WHERE c_acctbal > 9990 UNION
@@ -479,6 +495,16 @@ def lolo_folds(t) -> DataFrame:
     return models.holdout_folds(t("lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").alias("locus"), F.col("l_partkey").alias("gene")), "locus", "gene")
 
 
+@query(
+    """WITH p AS (SELECT l_orderkey AS locus, l_partkey AS gene, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT gene, sum(n) AS everywhere FROM p GROUP BY 1),
+    f AS (SELECT locus, sum(n)::BIGINT AS test, sum(everywhere - n)::BIGINT AS excluded FROM p JOIN g USING (gene) GROUP BY 1)
+    SELECT locus, test, excluded, (SELECT count(*) FROM lineitem) - test - excluded AS train FROM f"""
+)
+def lolo_folds_all(t) -> DataFrame:
+    """lolo_folds of every locus, over all rows."""
+    return models.holdout_folds(t("lineitem").select(F.col("l_orderkey").alias("locus"), F.col("l_partkey").alias("gene")), "locus", "gene")
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, round((l_quantity - 25) / 14 * 0.8, 6) AS quantity, round((l_discount - 0.05) / 0.03 * -1.2, 6) AS discount,
     round(0.1 + (l_quantity - 25) / 14 * 0.8 + (l_discount - 0.05) / 0.03 * -1.2, 6) AS score, round(1 / (1 + exp(-(0.1 + (l_quantity - 25) / 14 * 0.8 + (l_discount - 0.05) / 0.03 * -1.2))), 6) AS probability FROM lineitem"""

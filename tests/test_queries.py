@@ -47,3 +47,20 @@ def test_same_as_sql(spark, duck, name):
 def test_rows_only(spark):
     for name in set(registry.QUERIES) - set(registry.ORACLE):
         assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_all_loci_have_folds(spark):
+    li = pd.read_parquet(f"{DATA}/lineitem.parquet")[["l_orderkey", "l_partkey"]]
+    got = {r["locus"]: (r["test"], r["excluded"], r["train"]) for r in registry.QUERIES["lolo_folds_all"](spark, DATA).collect()}
+    assert set(got) == set(li.l_orderkey)
+    for locus in sorted(got)[::50]:
+        own = li.l_orderkey == locus
+        lost = ~own & li.l_partkey.isin(li.l_partkey[own])
+        assert got[locus] == (own.sum(), lost.sum(), (~own & ~lost).sum())
+
+
+def test_fallback_takes_all_parts(spark):
+    li, part = pd.read_parquet(f"{DATA}/lineitem.parquet"), pd.read_parquet(f"{DATA}/part.parquet")
+    by_brand = li[li.l_returnflag == "A"].merge(part, left_on="l_partkey", right_on="p_partkey").groupby("p_brand").size()
+    rows = [r for r in registry.QUERIES["fallback_join_all"](spark, DATA).collect() if r["status"] == "matched_by_symbol_fallback"]
+    assert rows and all(r["n"] == by_brand[r["p_brand"]] for r in rows)
