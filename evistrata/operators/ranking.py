@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 2048
+
 
 def rank_first(df: DataFrame, group: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:
     """1..n by falling score within the group, nulls last, ties by the given columns."""
@@ -16,6 +20,38 @@ def top_k(df: DataFrame, group: list[str], score: str, ties: list[str], k: int,
     return rank_first(df, group, score, ties, name).where(F.col(name) <= k)
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64)
+
+
+def _block_cosines(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """The k best rows of one block for each query of another, by falling cosine, rounded to 9 places, and vec_id."""
+    out: list[tuple] = []
+    if len(queries) and len(rows):
+        q, e = _vectors(queries["embedding"]), _vectors(rows["embedding"])
+        lengths = np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(e, axis=1)), 1e-12)
+        scores, ids = np.round(q @ e.T / lengths, 9), rows["vec_id"].to_numpy()
+        for query, s in zip(queries["vec_id"].to_pylist(), scores, strict=True):
+            s = np.where(ids == query, -np.inf, s)
+            least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+            at = np.flatnonzero((s >= least) & (ids != query))
+            out += [(query, int(ids[i]), float(s[i])) for i in at[np.lexsort((ids[at], -s[at]))][:k]]
+    names = ("query", "vec_id", "s")
+    return pa.table({n: pa.array([x[i] for x in out], pa.float64() if n == "s" else pa.int64()) for i, n in enumerate(names)})
+
+
+def nearest_by_cosine(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """queries, rows (vec_id, embedding) -> (query, vec_id, s, rank): each query's k best other rows by cosine.
+
+    Every block of queries meets every block of rows in a task of its own, which hands on k rows a query.
+    """
+    nq, nr = (max(1, -(-d.count() // BLOCK)) for d in (queries, rows))
+    side = lambda d, own, n, other, m: d.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+    q, r = side(queries, "qb", nq, "rb", nr), side(rows, "rb", nr, "qb", nq)
+    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(lambda a, b: _block_cosines(a, b, k), "query long, vec_id long, s double")
+    return top_k(found, ["query"], "s", ["vec_id"], k)
+
+
 def average_rank(value: str, group: list[str] | None = None, descending: bool = False) -> Column:
     """Mean rank of ties, as pandas' rank(method="average")."""
     order = F.col(value).desc() if descending else F.col(value).asc()

@@ -474,6 +474,16 @@ def cosine_topk(t) -> DataFrame:
     return ranking.top_k(pairs, ["query"], "s", ["vec_id"], 10).select("query", "vec_id", r6("s").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    """SELECT * FROM (SELECT q.vec_id AS query, c.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS "rank" FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0) WHERE "rank" <= 10"""
+)
+def cosine_topk_all(t) -> DataFrame:
+    """cosine_topk of every row whose id is divisible by 20."""
+    e = t("embeddings").select("vec_id", "embedding")
+    return ranking.nearest_by_cosine(e.where("vec_id % 20 = 0"), e, 10).select("query", "vec_id", r6("s").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT label, i::INT AS i, round(avg(x), 6) AS mean, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
 def centroids(t) -> DataFrame:
     e = t("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))

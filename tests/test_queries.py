@@ -64,3 +64,15 @@ def test_fallback_takes_all_parts(spark):
     by_brand = li[li.l_returnflag == "A"].merge(part, left_on="l_partkey", right_on="p_partkey").groupby("p_brand").size()
     rows = [r for r in registry.QUERIES["fallback_join_all"](spark, DATA).collect() if r["status"] == "matched_by_symbol_fallback"]
     assert rows and all(r["n"] == by_brand[r["p_brand"]] for r in rows)
+
+
+def test_cosine_of_every_twentieth(spark, monkeypatch):
+    from evistrata.operators import ranking
+
+    monkeypatch.setattr(ranking, "BLOCK", 64)  # several blocks of rows
+    e = pd.read_parquet(f"{DATA}/embeddings.parquet").sort_values("vec_id")
+    ids, v = e.vec_id.to_numpy(), np.stack(e.embedding).astype(float)
+    s = np.round(v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)), 9)
+    want = {(int(ids[q]), int(c), r + 1) for q in np.flatnonzero(ids % 20 == 0) for r, c in enumerate([ids[c] for c in np.lexsort((ids, -s[q])) if c != q][:10])}
+    got = {(r["query"], r["vec_id"], r["rank"]) for r in registry.QUERIES["cosine_topk_all"](spark, DATA).collect()}
+    assert got == want and len({q for q, _, _ in got}) == (ids % 20 == 0).sum()
