@@ -424,10 +424,17 @@ _EDGES = """WITH sp AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM line
     one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w FROM best GROUP BY 1, 2), e AS (SELECT a AS src, b AS dst, w FROM one UNION ALL SELECT b, a, w FROM one)"""
 
 
-def _edges(t) -> DataFrame:
+def _shared_parts(t) -> DataFrame:
     sp = t("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    co = sp.select(F.col("s").alias("a"), "p").join(sp.select(F.col("s").alias("b"), "p"), "p").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
-    return graph.cut(graph.undirected(ranking.top_k(co, ["a"], "w", ["b"], 2)))
+    return sp.select(F.col("s").alias("a"), "p").join(sp.select(F.col("s").alias("b"), "p"), "p").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("w"))
+
+
+def _edges(t) -> DataFrame:
+    return graph.cut(graph.undirected(ranking.top_k(_shared_parts(t), ["a"], "w", ["b"], 2)))
+
+
+def _all_edges(t) -> DataFrame:
+    return graph.cut(graph.undirected(_shared_parts(t)))
 
 
 def _pagerank_sql(seeds: str, rounds: int = 10) -> str:
@@ -463,6 +470,29 @@ def components_degree(t) -> DataFrame:
     return graph.components(e).join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node")
 
 
+@query()
+def ppr_scores_all(t) -> DataFrame:
+    """ppr_scores on every weighted edge, iterated to the operator's tolerance."""
+    e = _all_edges(t)
+    nodes = e.select(F.col("src").alias("node")).distinct()
+    seeds = nodes.select(F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))).alias("run_id"), "node").where("node % run_id = 0")
+    return graph.personalized_pagerank(graph.transitions(e), seeds).withColumn("score", F.round("score", 9))
+
+
+@query()
+def bfs_nearest_all(t) -> DataFrame:
+    """bfs_nearest on every edge."""
+    e = _all_edges(t)
+    return graph.distances(e, e.where("src % 10 = 0").select(F.col("src").alias("node"))).select("node", F.col("distance").cast("int").alias("distance"))
+
+
+@query()
+def components_degree_all(t) -> DataFrame:
+    """components_degree on every edge."""
+    e = _all_edges(t)
+    return graph.components(e).join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node")
+
+
 @query(
     """SELECT * FROM (SELECT q.vec_id AS query, c.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS "rank" FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 5) WHERE "rank" <= 10"""

@@ -76,3 +76,34 @@ def test_cosine_of_every_twentieth(spark, monkeypatch):
     want = {(int(ids[q]), int(c), r + 1) for q in np.flatnonzero(ids % 20 == 0) for r, c in enumerate([ids[c] for c in np.lexsort((ids, -s[q])) if c != q][:10])}
     got = {(r["query"], r["vec_id"], r["rank"]) for r in registry.QUERIES["cosine_topk_all"](spark, DATA).collect()}
     assert got == want and len({q for q, _, _ in got}) == (ids % 20 == 0).sum()
+
+
+@pytest.mark.parametrize("li", [None, [(1, 3), (1, 5), (2, 5), (2, 10), (3, 10), (3, 7), (4, 14), (4, 21), (5, 3), (5, 5), (6, 21), (6, 22), (7, 33)]])
+def test_graph_queries_on_all_edges(spark, li, tmp_path):
+    """The whole co-supply graph against dense matrices, on the smallest tables and on a sparse one of two parts."""
+    sf_dir = DATA
+    if li:
+        sf_dir = str(tmp_path)
+        spark.createDataFrame(li, "l_partkey long, l_suppkey long").write.parquet(f"{sf_dir}/lineitem.parquet")
+    sp = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().toPandas()
+    has = pd.crosstab(sp.l_suppkey, sp.l_partkey)
+    w = has.to_numpy() @ has.to_numpy().T * (1 - np.eye(len(has)))
+    on = w.sum(axis=1) > 0
+    ids, w = has.index.to_numpy()[on], w[on][:, on]
+    rows = lambda name: registry.QUERIES[name](spark, sf_dir).collect()
+    got = {(r["run_id"], r["node"]): r["score"] for r in rows("ppr_scores_all")}
+    reach = np.linalg.matrix_power((w > 0) + np.eye(len(w)), len(w)) > 0
+    for run in (3, 5, 7):
+        s = (ids % run == 0).astype(float)
+        if not s.any():
+            assert not any(k[0] == run for k in got)
+            continue
+        s /= s.sum()
+        exact = np.linalg.solve(np.eye(len(w)) - 0.85 * (w / w.sum(axis=1, keepdims=True)).T, 0.15 * s)
+        assert all(abs(got.get((run, i), 0.0) - x) < (1e-6 if li else 2e-9) for i, x in zip(ids, exact, strict=True))
+    far = np.where(ids % 10 == 0, 0, -1)
+    for d in range(1, len(w)):
+        far[(far < 0) & (w[:, far == d - 1].sum(axis=1) > 0)] = d
+    assert {r["node"]: r["distance"] for r in rows("bfs_nearest_all")} == {i: d for i, d in zip(ids, far, strict=True) if d >= 0}
+    want = {i: (ids[reach[k]].min(), (w[k] > 0).sum()) for k, i in enumerate(ids)}
+    assert {r["node"]: (r["component"], r["degree"]) for r in rows("components_degree_all")} == want
