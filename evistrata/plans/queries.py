@@ -66,6 +66,21 @@ def corpus_filter_dedup(t) -> DataFrame:
     return first.select("doc_id", F.col("n").cast("long").alias("n_tokens"))
 
 
+@query()
+def text_normalize_whole(t) -> DataFrame:
+    """text_normalize of the text as it is, characters folded instead of dropped."""
+    return X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(F.col("text"))).select("doc_id", F.md5("norm").alias("digest"), F.char_length("norm").cast("long").alias("n"))
+
+
+@query()
+def corpus_filter_dedup_whole(t) -> DataFrame:
+    """corpus_filter_dedup of the text as it is."""
+    norm = X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(F.col("text"))).select("doc_id", "norm")
+    kept = norm.where(X.long_enough(F.col("norm")) & ~X.is_excluded(F.col("norm")))
+    first = kept.groupBy(F.sha2("norm", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.size(F.split("norm", " ")), "doc_id").alias("n"))
+    return first.select("doc_id", F.col("n").cast("long").alias("n_tokens"))
+
+
 @query(
     """SELECT lang, count(*) AS docs, count(*) FILTER (n > 0) AS with_tokens, sum(n)::BIGINT AS tokens, max(n) AS longest FROM
     (SELECT lang, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n FROM documents) GROUP BY lang"""

@@ -1,7 +1,9 @@
 """Every query with SQL gives the same rows as DuckDB on the smallest tables."""
 
 import glob
+import hashlib
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -107,3 +109,37 @@ def test_graph_queries_on_all_edges(spark, li, tmp_path):
     assert {r["node"]: r["distance"] for r in rows("bfs_nearest_all")} == {i: d for i, d in zip(ids, far, strict=True) if d >= 0}
     want = {i: (ids[reach[k]].min(), (w[k] > 0).sum()) for k, i in enumerate(ids)}
     assert {r["node"]: (r["component"], r["degree"]) for r in rows("components_degree_all")} == want
+
+
+def normalized(text):
+    """The cleaning chain in Python."""
+    from evistrata.functions import text as X
+
+    out = re.sub(r"\bet\s+al\b", " ", text.translate(str.maketrans(X.FOLD)).lower())
+    for u in X.UNITS:
+        out = out.replace(u, " ")
+    out = re.sub(f"(?i)({'|'.join(X.SYNONYMS)})", f" {X.ENTITY} ", out)
+    out = re.sub(r"\bals\b", f" {X.ENTITY} ", out)
+    for p, by in X.CLEANING:
+        out = re.sub(p, by, out, flags=re.ASCII if p in (r"\b\d+\b", r"\bh4\b", r"\b[a-zA-Z0-9]\b") else 0)
+    return out.strip(" ")
+
+
+def test_texts_are_normalized_whole(spark, tmp_path):
+    from evistrata.functions import text as X
+
+    words = "protein folding under cellular stress in motor neurons shows early loss of axonal transport and later decline of muscle strength within cohorts"
+    more = [f"Résumé of naïve cells: {words}", f"Rsum of nave cells: {words}", f"Resume of naive cells: {words}", f"5 μg dose → 10 °C, Lou Gehrig’s disease et\u00a0al {words}"]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**9 + i, t) for i, t in enumerate(more)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = {i: normalized(t) for i, t in rows if t is not None}
+    got = {r["doc_id"]: (r["digest"], r["n"]) for r in registry.QUERIES["text_normalize_whole"](spark, str(tmp_path)).collect() if r["n"] is not None}
+    assert got == {i: (hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in norm.items()}
+    want = {}
+    for i in sorted(norm):
+        t = norm[i]
+        if len(t) > X.MIN_CHARS and len(t.split(" ")) > X.MIN_TOKENS and not re.search(rf"(?i)\b({'|'.join(X.EXCLUDED)})\b", t):
+            want.setdefault(t, (i, len(t.split(" "))))
+    assert {(r["doc_id"], r["n_tokens"]) for r in registry.QUERIES["corpus_filter_dedup_whole"](spark, str(tmp_path)).collect()} == set(want.values())
+    assert [10**9 + i in {i for i, _ in want.values()} for i in range(3)] == [True, True, False]
