@@ -2,9 +2,9 @@
 
 A spot signature is the chain of the next CHAIN content words after an occurrence of a common word (an anchor); further
 anchors in between are skipped. A document's fingerprint is its set of signatures, kept as sorted 64-bit hashes and
-shown as "<set length>:<128-bit digest of the set>". Sets are compared by Jaccard likeness; since a likeness of t
-needs lengths in the ratio t or more, sets fall into length classes and a pair whose lengths rule t out is pruned
-before its sets are intersected.
+shown as "<set length>:<128-bit digest of the set>". Only fingerprints and direct comparisons of given pairs by
+Jaccard likeness are built, not a search for near-duplicates: no path deals sets by length_class, and op2 compares its
+pairs without pruning. `likeness` can prune a pair whose lengths rule a likeness out.
 
 Texts with fewer than FEW chains (no anchors, lists, junk) also take every pair of neighbouring words as a signature,
 a single word is its own signature, and a text without letters or digits is its own signature, so that only empty
