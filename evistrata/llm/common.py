@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ def clean_text(col: str | Column = "text") -> Column:
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch holding about `limit` bytes of `column` each, so that Python never holds one huge word list."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), dtype=np.int64)
     start = 0
     cut = np.searchsorted(np.cumsum(sizes), np.arange(limit, sizes.sum() + limit, limit))
     for end in [*np.unique(np.minimum(cut + 1, len(sizes))).tolist(), len(sizes)]:

@@ -17,18 +17,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Words kept encoded per task (twice: those used lately), and characters of text taken at a time; memory bounds only.
-CACHE_WORDS = 200_000
-SLICE_CHARS = 2 << 20
+#: Memory bounds only: words kept encoded per task (twice: those used lately), the longest word that is kept, bytes of
+#: text taken at a time, and characters of new words merged at a time.
+CACHE_WORDS = 100_000
+CACHE_CHARS = 64
+SLICE_BYTES = 1 << 20
+MERGE_CHARS = 1 << 18
 _WORD = re.compile(" *[^ ]+| +")
 _NONE = np.int32(2**31 - 1)
 
@@ -162,56 +168,63 @@ def split(text: str) -> list[str]:
     return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
+def _bounded(words: Iterable[str]) -> Iterator[list[str]]:
+    """The words, about MERGE_CHARS characters at a time."""
     held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= SLICE_CHARS:
+    for w in words:
+        held.append(w)
+        size += len(w)
+        if size >= MERGE_CHARS:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
+def _digests(values: pa.Array, skip: int = 0) -> pa.Array:
+    """SHA-256 of each value without its first `skip` bytes."""
+    return pa.array([hashlib.sha256(memoryview(v.as_buffer())[skip:] if v.as_buffer().size else b"").hexdigest() for v in values], pa.string())
+
+
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, with_ids: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids array<int>."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary(default_model())))  # plain arrays: executors lack this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known, older = Vocabulary.__new__(Vocabulary), {}, {}
+        vocab = Vocabulary.__new__(Vocabulary)
         vars(vocab).update(shared.value)
-        for b in batches:
-            texts = [t or "" for t in b["text"].to_pylist()]
-            rows, arrays = [], []
-            for part in _slices(texts):
-                words = [split(t) for t in part]
+        names, surface = pa.array(map(str, range(vocab.size))), pa.array(vocab.surface, pa.binary())
+        known: dict[str, bytes] = {}
+        older: dict[str, bytes] = {}
+        for batch in batches:
+            for b in byte_slices(batch, "text", SLICE_BYTES):
+                words = [split(t.as_py() or "") for t in b["text"]]
                 if len(known) > CACHE_WORDS:
                     known, older = {}, known
-                need = {w for ws in words for w in ws}.difference(known)
-                if older:
-                    known.update((w, older[w]) for w in need if w in older)
-                    need.difference_update(known)
-                if need:
-                    new = list(need)
-                    flat, count = vocab.encode_words(new)
-                    listed, ends = flat.tolist(), np.cumsum(count).tolist()
-                    texts_, parts = list(map(str, listed)), [vocab.surface[i] for i in listed]
-                    flat, begin = flat.astype(np.int32), 0
-                    for w, end in zip(new, ends, strict=True):
-                        known[w] = (",".join(texts_[begin:end]), end - begin, b"".join(parts[begin:end]), flat[begin:end].tobytes() if with_ids else None)
+                found, new = {}, []
+                for w in set().union(*words):
+                    held = known.get(w) or older.get(w)
+                    if held is None:
+                        new.append(w)
+                    else:
+                        found[w] = known[w] = held
+                for some in _bounded(new):
+                    flat, count = vocab.encode_words(some)
+                    raw, begin = flat.astype(np.int32).tobytes(), 0
+                    for w, end in zip(some, (4 * np.cumsum(count)).tolist(), strict=True):
+                        found[w] = raw[begin:end]
                         begin = end
-                for ws in words:
-                    found = [known[w] for w in ws]
-                    text = b"".join([f[2] for f in found])[1:]
-                    rows.append((sum([f[1] for f in found]), hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
-                    if with_ids:
-                        arrays.append(np.frombuffer(b"".join([f[3] for f in found]), dtype=np.int32))
-            n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
-            cols = [b["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            if with_ids:
-                cols.append(pa.array(arrays, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+                    known.update((w, found[w]) for w in some if len(w) <= CACHE_CHARS)
+                parts = [b"".join([found[w] for w in ws]) for ws in words]
+                n = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+                ids = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
+                ends = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+                joined = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(ids)), ",")
+                text = pc.binary_join(pa.ListArray.from_arrays(ends, surface.take(ids)), b"")
+                cols = [b["doc_id"], pa.array(n), _digests(joined), _digests(text, 1)]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(ends, ids))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
