@@ -26,16 +26,20 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
+    """Replaces secrets in the texts. Rows travel as one struct, so no column name of docs can clash."""
     _, findings, _ = secrets.scan(docs)
-    held = docs.withColumn("blob__", secrets.blob_id(F.coalesce("text", F.lit(""))))
-    spans = keep(secrets.by_blob(findings).select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__")))
-    text = F.when(F.col("spans__").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), secrets.covered(F.col("text"), F.col("spans__"))))
+    spans = keep(secrets.by_blob(findings))
+    rows = docs.select(F.struct("*").alias("row"), secrets.blob_id(F.coalesce("text", F.lit(""))).alias("id"))
     # A merge join at every size: findings grow with the corpus.
-    out = held.join(spans.hint("merge"), "blob__", "left").withColumn("text", text)
+    held = rows.join(spans.hint("merge"), rows.id == spans.blob, "left")
+    old = F.col("row.text")
+    text = F.when(F.col("spans").isNull(), old).otherwise(secrets.redact(old, secrets.covered(old, F.col("spans"))))
+    out = held.select("row", "spans", text.alias("clean"))
+    row = F.col("row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans__").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+        counted = F.char_length("clean").cast(dict(docs.dtypes)["n_chars"])
+        row = row.withField("n_chars", F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(counted))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests, one machine)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Where the session names none, a temporary one on a single machine only."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(spark, "_evistrata_dir", None)
         if root is None:
             root = spark._evistrata_dir = tempfile.mkdtemp(prefix="evistrata-")
@@ -102,17 +106,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of longs -> (u, root): every vertex but the smallest of each component, with that smallest one.
 
     Alternating large-star and small-star steps; each keeps the edge count at most the input's and about halves depth.
+    Ends when all components are stars: no vertex has two edges up, or one up and one down.
     """
     e = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
-    sign = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo") % 1_000_003).alias("s")).first()
-    was = sign(e)
     while True:
         low = e.groupBy("hi").agg(F.min("lo").alias("p")).select(F.col("hi").alias("lo"), "p")
         large = e.join(low, "lo", "left").select("hi", F.coalesce("p", "lo").alias("lo"))
         near = large.groupBy("hi").agg(F.min("lo").alias("p"))
         small = large.join(near, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("p").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("p").alias("lo")))).alias("x")).select("x.*")
         e = keep(small.where("hi <> lo").distinct())
-        now = sign(e)
-        if now == was:
+        ends = e.select(F.explode(F.array(F.struct(F.col("hi").alias("v"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("v"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+        if ends.groupBy("v").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or (ups = 1 and n > 1)").isEmpty():
             return e.select(F.col("hi").alias("u"), F.col("lo").alias("root"))
-        was = now

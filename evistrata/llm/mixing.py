@@ -67,16 +67,16 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it."""
-    columns = docs.columns
-    keyed = docs.withColumn("key__", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\u0000"))))
-    rows = keyed.select(F.struct("doc_id", "key__").alias("doc_id"), "source", "text")
-    taken = keep(mix(rows, **options).select("doc_id.doc_id", "doc_id.key__", "copies").groupBy("doc_id", "key__").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows__")))
-    if not taken.where("rows__ > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "key__"])
-    plan = taken.where("copies > 0").select(F.col("doc_id").alias("id__"), F.col("key__").alias("k__"), F.col("copies").alias("copies__"))
-    out = keyed.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("key__") == F.col("k__")))
-    return out.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int")))).select(*columns)
+    """docs with every row repeated as often as the mix takes it. Rows travel as one struct: no column name can clash."""
+    key = F.unhex(F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit("\u0000"), F.coalesce(F.col("source").cast("string"), F.lit("\u0001"))).cast("binary"), 256))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("doc_id").alias("id"))
+    asked = rows.select(F.struct("id", "key").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"))
+    taken = keep(mix(asked, **options).groupBy("doc_id.id", "doc_id.key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
+    if not taken.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "key"])
+    plan = taken.where("copies > 0").select(F.col("id").alias("i"), F.col("key").alias("k"), "copies")
+    out = rows.join(plan.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

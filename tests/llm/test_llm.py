@@ -70,8 +70,8 @@ def test_simhash_links_light_and_heavy(spark, bits, light):
     centres = [rng.getrandbits(64) for _ in range(6)]
     fps = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for c in centres for _ in range(12)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    edges = simhash.links(df, bits, light)
+    df = spark.createDataFrame([(f, 0) for f in signed], "fp long, t int")
+    edges = simhash.links(df, bits, light).select("u", "v")
     root = {r["u"]: r["root"] for r in common.components(edges).collect()}
     groups = lambda labels: sorted(sorted(f for f, x in zip(signed, labels, strict=True) if x == y) for y in set(labels))
     assert groups([root.get(f, f) for f in signed]) == groups(brute_components(fps, bits))
@@ -110,7 +110,7 @@ def test_deduplicate_large_groups(spark, monkeypatch):
 def test_deduplicate_shared_passage(spark, monkeypatch, size):
     """At both sides of GROUP: near copies among unlike texts that share a passage, and chains, by the greedy rule."""
     monkeypatch.setattr(simhash, "GROUP", 40)
-    monkeypatch.setattr(simhash, "links", lambda fps, bits: fps.select(F.col("fp").alias("u"), F.lit(-(1 << 63)).alias("v")))
+    monkeypatch.setattr(simhash, "candidate_groups", lambda texts, *_: texts.select("key", F.lit(0).cast("long").alias("group")).distinct())
     rng, passage, texts = random.Random(7), [f"p{i}" for i in range(120)], []
     for k in range(12):
         own = [f"o{k}x{i}" for i in range(40)]
@@ -330,9 +330,35 @@ def test_pitman_yor_probabilities_sum_to_one():
 
 def test_clashing_extra_columns(spark):
     docs, _ = make_docs(spark, n=5)
-    odd = docs.withColumns({c: F.lit("x") for c in ("fp", "key", "shard", "size", "blob", "sigs", "spans", "copies", "row_index", "part", "score", "target")})
+    odd = docs.withColumns({c: F.lit("x") for c in ("fp", "key", "shard", "size", "blob", "sigs", "spans", "copies", "row_index", "part", "score", "target", "first", "n", "group", "rows", "spans__", "id__", "copies__", "row", "id", "k", "i", "t", "v", "sh", "clean")})
     assert simhash.near_duplicates(odd).count() == sharding.shard_groups(odd).count() == mixing.mix(odd).count() == secrets.scan(odd)[0].count() == docs.count()
-    assert simhash.deduplicate(odd).columns == odd.columns == mixing.apply_mix(odd).columns
+    import corpus_pipeline as cp
+
+    assert simhash.deduplicate(odd).columns == odd.columns == mixing.apply_mix(odd).columns == cp.secrets_stage(spark, odd, "").columns
+    assert simhash.deduplicate(odd).count() == simhash.deduplicate(docs).count() and mixing.apply_mix(odd).count() == mixing.apply_mix(docs).count()
+    assert cp.secrets_stage(spark, odd, "").count() == docs.count()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_deduplicate_recall(spark):
+    """Pairs of five-word shingles 0.8 or more alike: at least 0.95 of them share a candidate group."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(150):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 200))]
+        near = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 50))):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        texts += [" ".join(base), " ".join(near)]
+    pairs = [i for i in range(0, 300, 2) if jaccard(shingles_of(texts[i]), shingles_of(texts[i + 1])) >= 0.8 and texts[i] != texts[i + 1]]
+    docs = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "key binary, text string")
+    group = {int(r["key"]): r["group"] for r in simhash.candidate_groups(docs, 4, 4).collect()}
+    found = sum(i in group and group[i] == group.get(i + 1) for i in pairs)
+    assert len(pairs) > 80 and found >= 0.95 * len(pairs)
 
 
 def test_running(spark):
