@@ -291,6 +291,42 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 3 and neighbours.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 14, 40])
+def test_neighbours_ties(spark, block):
+    """Different vectors at equal distances: the smaller vec_id wins, in one cell and in many."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (900, 4)).astype(float)
+    x[~x.any(1)] = 1.0
+    ids = rng.permutation(900)
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, stop=1.0, block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(got) == 45
+    for i, v in zip(ids.tolist(), x, strict=True):
+        if i % 20 == 0:
+            d = ((x - v) ** 2).sum(1)
+            assert got[i] == [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != i][:10]
+
+
+def test_neighbours_cells(spark):
+    """Many cells: recall of 0.9 or more against brute force, and every point in exactly one cell."""
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((40, 24))[rng.integers(0, 40, 3000)] * 3 + rng.standard_normal((3000, 24))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(vectors, F.col("vec_id") % 30 == 0, block=128).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 30):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        hits += len(got[q] & set([i for i in np.argsort(d, kind="stable").tolist() if i != q][:10]))
+    assert hits >= 0.9 * 1000
+    p = x.astype(float) @ neighbours.projection(24)
+    cell = neighbours.cell_of(p, neighbours.cell_cuts(p, 16))
+    assert set(cell.tolist()) == set(range(16)) and np.bincount(cell).max() <= 2 * len(x) / 16
+
+
 def test_pitman_yor(spark, monkeypatch):
     docs, rows = make_docs(spark, ["the\xa0nbsp stays", "ÀB CD"], n=300)
     got = {r["doc_id"]: r for r in pitman_yor.score_documents(docs).collect()}
