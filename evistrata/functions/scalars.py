@@ -51,15 +51,60 @@ def numeric_feature(x: Column, fill: float = 0.0) -> Column:
     return F.coalesce(to_double(x), F.when(b, 1.0).when(~b, 0.0), F.lit(fill))
 
 
+# Forms of rsIDs, variants (chromosome, position, ref, alt) and positions.
+RSID = r"rs\d+"
+VARIANT = r"(?i)^(?:chr)?([0-9]+|x|y|mt|m)[_: -]?([0-9]+)[_: /-]+([acgtn]+)[_: /->]+([acgtn]+)$"
+POSITION = r"(?i)^(?:chr)?([0-9]+|x|y|mt|m)[_: -]?([0-9]+)$"
+
+
 def rsids(x: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"(?i)\brs\d+\b"), F.lit(0)), F.lower))
+    """Distinct rsIDs of a text, lower-cased, in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(RSID), F.lit(0)))
+
+
+def rsid(x: Column) -> Column:
+    """The text as one rsID, else null."""
+    t = F.lower(F.trim(x))
+    return F.when(t.rlike(f"^{RSID}$"), t)
+
+
+def locus_chromosome(x: Column) -> Column:
+    """Without "chr", upper-cased, M as MT; null for none. Numbers stay, unlike in `chromosome`."""
+    t = F.upper(F.regexp_replace(F.trim(x.cast("string")), "(?i)^chr", ""))
+    return F.when(t == "M", "MT").when(t != "", t)
+
+
+def _place(t: Column, pattern: str) -> list[Column]:
+    return [locus_chromosome(F.regexp_extract(t, pattern, 1)), F.regexp_extract(t, pattern, 2).cast("decimal(38,0)").cast("string")]
 
 
 def variant_id(x: Column) -> Column:
     """chromosome_position_ref_alt from the usual separators, else null."""
-    p = r"(?i)^\s*(?:chr)?([0-9]{1,2}|X|Y|MT?)[:_\-\s]+(\d+)[:_\-\s]+([ACGT]+)[:_\-/>\s]+([ACGT]+)\s*$"
-    part = lambda i: F.upper(F.regexp_extract(x, p, i))
-    return F.when(x.rlike(p), F.concat_ws("_", chromosome(part(1)), part(2), part(3), part(4)))
+    t = F.trim(x)
+    return F.when(t.rlike(VARIANT), F.concat_ws("_", *_place(t, VARIANT), *[F.upper(F.regexp_extract(t, VARIANT, i)) for i in (3, 4)]))
+
+
+def position_id(x: Column) -> Column:
+    """chromosome_position, else null."""
+    t = F.trim(x)
+    return F.when(t.rlike(POSITION), F.concat_ws("_", *_place(t, POSITION)))
+
+
+def gene_key(gene_id: Column, symbol: Column, row: Column) -> Column:
+    """The id, else the symbol, else a name of the row's own, so that rows without both never share a key."""
+    return F.coalesce(blank_to_null(gene_id), blank_to_null(symbol), F.concat(F.lit("__missing_gene_row_"), row.cast("string")))
+
+
+def ordered_join(x: Column, order: Column, sep: str = "|") -> Column:
+    """Aggregate: distinct non-blank values in order of first appearance, joined."""
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.trim(x) != "", F.struct(order.alias("o"), F.trim(x).alias("v"))))), lambda s: s["v"])
+    return F.array_join(F.array_distinct(held), sep)
+
+
+def attention_rescale(x: Column, most: Column, least_log: Column, most_log: Column) -> tuple[Column, Column]:
+    """A weight over the largest, and its logarithm scaled between those of the smallest and largest non-zero weight."""
+    linear = F.coalesce(F.try_divide(x, most), F.lit(0.0))
+    return linear, F.when(x > 0, F.coalesce(F.try_divide(F.ln(x) - least_log, most_log - least_log), F.lit(1.0))).otherwise(0.0)
 
 
 def unique_join(x: Column, most: int | None = None, sep: str = "|") -> Column:

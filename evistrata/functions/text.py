@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Characters folded one to one.
 FOLD = {
-    "‐": "-", "‒": "-", "–": "-", "—": "-", "¯": "-",
+    "‒": "-", "–": "-", "—": "-", "¯": "-",
     "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a",
     "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e",
     "í": "i", "î": "i", "ï": "i", "ñ": "n",
@@ -25,7 +25,7 @@ UNITS = (
     "/µl", "μg", "u/mg", "mg/m", "g/m", "mumol/kg", "/week", "/day", "m²", "/kg", "®", "ﬀ", "ﬃ", "ﬁ", "ﬂ", "£", "¥", "©", "«", "¬",
     "°", "±", "²", "³", "´", "·", "¹", "»", "½", "¿", "‘", "’", "“", "”", "•", "˂", "˙", "˚", "˜", "…", "‰", "′", "″", "‴", "€", "™",
     "↑", "→", "↓", "∗", "∙", "∝", "∞", "∼", "≈", "≠", "≤", "≥", "≦", "≫", "⊘", "⊣", "⊿", "⋅", "═", "■", "▵", "⟶", "⩽", "⩾", "、",
-    "气", "益", "粒", "肾", "补", "颗", "，",
+    "气", "益", "粒", "肾", "补", "颗", "\ue2f6", "\ue2fa", "\uf020", "\uf02c", "，",
 )
 # Spellings of the disease name, and the token that replaces them.
 SYNONYMS = (
@@ -35,7 +35,7 @@ SYNONYMS = (
 ENTITY = "als_disease_token"
 # Words that mark unwanted publication types.
 EXCLUDED = ("foreword", "prelude", "commentary", "workshop", "conference", "symposium", "comment", "comments", "retract", "correction", "erratum", "memorial")
-#: (pattern, replacement) after folding, lower-casing, citations, units and synonyms, in order.
+# Fixed values: (pattern, replacement) after folding, lower-casing, citations, units and synonyms, in order.
 CLEANING = (
     (r"http\S+|www\.\S+", " "), (r"\b-+\s*", ""), (r"\s*-+\b", ""), (r"-{2,}", "-"), (r"\s*-\s*", "-"),
     (r"[^a-z0-9_\-\s]", " "), (r"\b\d+\b", " "), (r"\bh4\b", " "), (r"\b[a-zA-Z0-9]\b", " "), (r"\s+", " "),
@@ -56,8 +56,8 @@ def fold(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """The whole cleaning chain. Intra-word hyphens vanish and fuse their words; the chain isn't idempotent."""
     out = F.regexp_replace(F.lower(fold(text)), r"(?U)\bet\s+al\b", " ")
-    for u in UNITS:
-        if len(u) > 1:
+    for i, u in enumerate(UNITS):
+        if len(u) > 1 and not any(e in u for e in UNITS[:i]):  # else nothing is left of it by then
             out = F.replace(out, F.lit(u), F.lit(" "))
     single = "".join(dict.fromkeys(u for u in UNITS if len(u) == 1))  # each comes after the longer ones that hold it
     out = F.translate(out, single, " " * len(single))
@@ -105,6 +105,15 @@ def highlight(text: Column, term: str) -> Column:
     return F.regexp_replace(text, rf"(?i)\b({term})\b", "**$1**")
 
 
+def mentions(text: Column, term: str) -> Column:
+    return F.contains(F.lower(text), F.lit(term.lower()))
+
+
+def distinct_flat(lists: Column) -> Column:
+    """Elements of an array of arrays, each once, in order of first appearance."""
+    return F.array_distinct(F.flatten(lists))
+
+
 def themes(text: Column, keywords: dict[str, list[str]]) -> Column:
     """Labels of which any keyword occurs in the lower-cased text."""
     low = F.lower(text)

@@ -83,3 +83,150 @@ def components(edges: DataFrame) -> DataFrame:
         if new.join(labels, ["node", "component"], "left_anti").isEmpty():
             return new
         labels = new
+
+
+def background_normalized(scores: DataFrame, background: DataFrame) -> DataFrame:
+    """(node, log_ratio): ln(score) - ln(background) on the background's nodes, each of which must have both, positive."""
+    from .joins import aligned
+
+    out = aligned(scores, background, "node", "score")
+    return out.select("node", (F.ln("score") - F.ln("reference")).alias("log_ratio"))
+
+
+def select_seeds(rows: DataFrame, node: str, by: str, threshold: float) -> DataFrame:
+    """Distinct nodes of rows whose column `by` (a label, a score or evidence; missing counts as 0) reaches the threshold."""
+    return rows.where(F.coalesce(F.col(by).cast("double"), F.lit(0.0)) >= threshold).select(F.col(node).alias("node")).distinct()
+
+
+def map_seeds(seeds: DataFrame, gene: str, nodes: DataFrame, source: str) -> DataFrame:
+    """seeds(gene), blanks and repeats allowed -> node, source, status: missing_gene_id, mapped or unmapped, one row each."""
+    from ..functions.scalars import blank_to_null
+
+    rows = seeds.select(blank_to_null(F.col(gene)).alias("gene")).distinct()
+    known = nodes.select(F.col("node").cast("string").alias("n__")).distinct()
+    out = rows.join(known, rows.gene == known.n__, "left")
+    status = F.when(F.col("gene").isNull(), "missing_gene_id").when(F.col("n__").isNotNull(), "mapped").otherwise("unmapped")
+    return out.select(F.col("gene").alias("node"), F.lit(source).alias("source"), status.alias("status"))
+
+
+def scored(rows: DataFrame, node: str, scores: DataFrame, default: float = 0.0) -> DataFrame:
+    """rows with `score` from scores(node, score), else the default."""
+    s = scores.select(F.col("node").alias("n__"), F.col("score").alias("s__"))
+    return rows.join(s, rows[node] == s.n__, "left").withColumn("score", F.coalesce("s__", F.lit(default))).drop("n__", "s__")
+
+
+def seeded_pagerank(moves: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """personalized_pagerank that refuses a run without any seed on the graph."""
+    nodes = moves.select(F.col("src").alias("node")).distinct()
+    asked = seeds.groupBy("run_id").agg(F.count("*").alias("n")).count()
+    if not asked or seeds.join(nodes, "node", "left_semi").select("run_id").distinct().count() < asked:
+        raise ValueError("a run has no seed on the graph")
+    return personalized_pagerank(moves, seeds, alpha, iterations, tolerance)
+
+
+def fold_scores(moves: DataFrame, rows: DataFrame, fold: str, node: str, label: str, **options) -> DataFrame:
+    """rows with `network_score`: for each fold, propagated from the positives of the other folds only; 0 off the graph.
+
+    All folds are runs of one propagation.
+    """
+    folds = rows.select(F.col(fold).alias("run_id")).distinct()
+    positives = rows.where(F.col(label) == 1).select(F.col(fold).alias("f"), F.col(node).alias("node")).distinct()
+    own = positives.withColumnRenamed("f", "run_id").distinct()
+    # A gene that is positive in the fold as well is no seed: its label is to be predicted there.
+    seeds = folds.join(F.broadcast(positives), F.col("run_id") != F.col("f")).select("run_id", "node").distinct().join(own, ["run_id", "node"], "left_anti")
+    s = personalized_pagerank(moves, seeds, **options).select("run_id", F.col("node").alias("n__"), F.col("score").alias("s__"))
+    out = rows.join(s, (rows[fold] == s.run_id) & (rows[node] == s.n__), "left")
+    return out.select(*rows.columns, F.coalesce("s__", F.lit(0.0)).alias("network_score"))
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges (src, dst, ...) with both ends among nodes(node)."""
+    n = nodes.select("node").distinct()
+    return edges.join(n.withColumnRenamed("node", "src"), "src", "left_semi").join(n.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def component_sizes(labels: DataFrame) -> DataFrame:
+    """labels(node, component) -> component, size, place (largest first, ties by component) and share of all nodes."""
+    from .ranking import rank_first
+
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size")).withColumn("all__", F.lit(1))
+    total = labels.agg(F.count("*").alias("n__"))
+    out = rank_first(sizes, ["all__"], "size", ["component"], "place").join(F.broadcast(total))
+    return out.select("component", "size", "place", (F.col("size") / F.col("n__")).alias("share"))
+
+
+MOST_NODES = 2000
+
+
+def modularity_communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, community) of the small graph of nodes(node): pairs of communities are merged greedily while modularity
+    grows (ties: the smallest pair). For report graphs; more than MOST_NODES nodes are refused. Without edges every
+    node is its own community; communities are numbered by falling size, then by their smallest node."""
+    spark = edges.sparkSession
+    kept = sorted(r["node"] for r in nodes.select("node").distinct().limit(MOST_NODES + 1).collect())
+    if len(kept) > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    at = {n: i for i, n in enumerate(kept)}
+    weight: dict[int, dict[int, float]] = {i: {} for i in at.values()}
+    for r in induced(edges, nodes).select("src", "dst", "w").collect():
+        if r["src"] != r["dst"]:
+            weight[at[r["src"]]][at[r["dst"]]] = float(r["w"])
+    degree = {i: sum(w.values()) for i, w in weight.items()}
+    total, members = sum(degree.values()), {i: [i] for i in weight}
+    while total:
+        gains = [(2 * (w / total - degree[a] * degree[b] / total**2), -a, -b) for a, near in weight.items() for b, w in near.items() if a < b]
+        best = max(gains, default=(0.0, 0, 0))
+        if best[0] <= 1e-12:
+            break
+        a, b = -best[1], -best[2]
+        for c, w in weight.pop(b).items():
+            del weight[c][b]
+            if c != a:
+                weight[a][c] = weight[c][a] = weight[a].get(c, 0.0) + w
+        degree[a] += degree.pop(b)
+        members[a] += members.pop(b)
+    ordered = sorted(members.values(), key=lambda m: (-len(m), min(m)))
+    rows = [(kept[i], c) for c, m in enumerate(ordered) for i in m]
+    return spark.createDataFrame(rows, f"node {dict(nodes.dtypes)['node']}, community int")
+
+
+def community_summary(communities: DataFrame, flags: DataFrame, a: str, b: str, samples: int = 5) -> DataFrame:
+    """Per community: size, nodes flagged by a, b and both, its type, and a sample of nodes. flags(node, a, b) are 0/1."""
+    on = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
+    d = communities.join(flags, "node", "left")
+    n = d.groupBy("community").agg(F.count("*").alias("size"), F.count_if(on(a)).alias("n_a"), F.count_if(on(b)).alias("n_b"), F.count_if(on(a) & on(b)).alias("n_both"), F.slice(F.array_sort(F.collect_set("node")), 1, samples).alias("held"))
+    kind = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), "mixed").when(F.col("n_a") > 0, a).when(F.col("n_b") > 0, b).otherwise("none")
+    return n.select("community", "size", "n_a", "n_b", "n_both", kind.alias("kind"), F.array_join(F.transform("held", lambda x: x.cast("string")), "|").alias("sample"))
+
+
+def threshold_sweep(moves: DataFrame, rows: DataFrame, node: str, by: str, thresholds: list[float], reference: DataFrame, **options) -> DataFrame:
+    """threshold, seeds, spearman: scores propagated from the seeds of each threshold (all in one propagation) against
+    reference(node, score), by average ranks over the reference's nodes; best agreement first."""
+    from .ranking import average_rank
+
+    spark = rows.sparkSession
+    runs = spark.createDataFrame([(i, float(t)) for i, t in enumerate(thresholds)], "run_id int, threshold double")
+    value = F.coalesce(F.col(by).cast("double"), F.lit(0.0))
+    seeds = rows.select(F.col(node).alias("node"), value.alias("v")).join(F.broadcast(runs), F.col("v") >= F.col("threshold")).select("run_id", "node").distinct()
+    counts = seeds.groupBy("run_id").agg(F.count("*").alias("seeds"))
+    got = personalized_pagerank(moves, seeds, **options)
+    pairs = runs.crossJoin(reference.select("node", F.col("score").alias("ref"))).join(got, ["run_id", "node"], "left").select("run_id", "ref", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    ranks = pairs.select("run_id", average_rank("score", ["run_id"]).alias("a"), average_rank("ref", ["run_id"]).alias("b"))
+    agree = ranks.groupBy("run_id").agg(F.corr("a", "b").alias("spearman"))
+    return runs.join(counts, "run_id", "left").join(agree, "run_id", "left").select("threshold", F.coalesce("seeds", F.lit(0)).alias("seeds"), "spearman").orderBy(F.desc_nulls_last("spearman"), "threshold")
+
+
+def module_scores(members: DataFrame, edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """members(module, node) -> module, node, a, b, mean of those known, bias a - b, degree within the module."""
+    own = edges.join(members.select("module", F.col("node").alias("src")), "src").join(members.select("module", F.col("node").alias("dst")), ["module", "dst"])
+    degree = own.groupBy("module", F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    out = members.join(a.select("node", F.col("score").alias("a")), "node", "left").join(b.select("node", F.col("score").alias("b")), "node", "left").join(degree, ["module", "node"], "left")
+    some = F.array_compact(F.array("a", "b"))
+    mean = F.try_divide(F.aggregate(some, F.lit(0.0), lambda s, x: s + x), F.size(some))
+    return out.select("module", "node", "a", "b", mean.alias("mean"), (F.col("a") - F.col("b")).alias("bias"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def module_genes(members: DataFrame, symbols: DataFrame) -> DataFrame:
+    """members(module, node) -> module, genes: symbols where all of a module's nodes have one, else ids; sorted, joined."""
+    d = members.join(symbols.select("node", "symbol"), "node", "left").groupBy("module").agg(F.bool_and(F.col("symbol").isNotNull()).alias("all"), F.array_sort(F.collect_set("symbol")).alias("s"), F.array_sort(F.collect_set(F.col("node").cast("string"))).alias("i"))
+    return d.select("module", F.array_join(F.when(F.col("all"), F.col("s")).otherwise(F.col("i")), "|").alias("genes"))

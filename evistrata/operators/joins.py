@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,62 @@ def overlap_category(flags: dict[str, Column]) -> Column:
     """Names of the true flags joined by "+", or "none"."""
     names = F.concat_ws("+", *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in flags.items()])
     return F.when(names == "", "none").otherwise(names)
+
+
+def lookup_with_fill(left: DataFrame, key: str, vectors: DataFrame, dim: int, fill: float = 0.0) -> DataFrame:
+    """left with `vector` and `has_vector`; vectors(key, vector) that are missing, of another length or all null give
+    a vector of `fill`."""
+    v = vectors.select(F.col("key").alias("key__"), F.col("vector").alias("v__")).where(F.size("v__") == dim)
+    out = left.join(v, left[key] == F.col("key__"), "left")
+    has = F.col("v__").isNotNull()
+    return out.select(*left.columns, F.coalesce("v__", F.array_repeat(F.lit(fill), dim)).alias("vector"), has.cast("int").alias("has_vector"))
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> DataFrame:
+    """Left join in which right columns that left has too get the suffix."""
+    names = {c: c + suffix if c in left.columns else c for c in right.columns if c != key}
+    r = right.select(F.col(key).alias("key__"), *[F.col(c).alias(n) for c, n in names.items()])
+    return left.join(r, left[key] == F.col("key__"), "left").drop("key__")
+
+
+def aligned(scores: DataFrame, reference: DataFrame, key: str, value: str) -> DataFrame:
+    """scores on the reference's keys; fails at run time where a key has no score or a reference value is not positive."""
+    r = reference.select(F.col(key).alias("key__"), F.col(value).alias("reference"))
+    out = r.join(scores.select(key, F.col(value).alias("score")), F.col("key__") == F.col(key), "left")
+    ok = F.col(key).isNotNull() & (F.col("reference") > 0)
+    checked = F.when(ok, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("no score, or no positive reference, for "), F.col("key__").cast("string"))).cast("double"))
+    return out.select(F.col("key__").alias(key), checked.alias("score"), "reference")
+
+
+def coalesced_id(left: DataFrame, choices: dict[str, Column]) -> DataFrame:
+    """left with `gene_id`, the first choice that isn't null, and `id_source`, its name or "missing"."""
+    name = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in choices.items()], F.lit("missing"))
+    return left.withColumns({"gene_id": F.coalesce(*choices.values()), "id_source": name})
+
+
+def unordered_pairs(df: DataFrame, key: str, group: list[str] | None = None) -> DataFrame:
+    """Each pair a < b of rows (of one group), with both rows as structs. For small tables: the pairs are the result."""
+    side = lambda n: df.select(*[F.col(g) for g in group or []], F.struct(*df.columns).alias(n))
+    a, b = side("a"), side("b")
+    pairs = a.join(b, group) if group else a.join(b, F.col("a")[key] < F.col("b")[key])
+    return pairs.where(F.col("a")[key] < F.col("b")[key])
+
+
+def grid(spark, **axes) -> DataFrame:
+    """Every combination of the axes' values."""
+    out = None
+    for name, values in axes.items():
+        d = spark.createDataFrame([(v,) for v in values], [name])
+        out = d if out is None else out.crossJoin(d)
+    return out
+
+
+def mapping_report(ids: DataFrame, gene: str, nodes: DataFrame, node: str, samples: int = 10) -> DataFrame:
+    """One row: how many distinct cleaned ids there are, carry a version, are nodes or aren't, with samples of the latter two."""
+    raw = F.trim(gene)
+    rows = ids.select(F.substring_index(raw, ".", 1).alias("id"), F.contains(raw, F.lit(".")).alias("versioned")).where("id <> ''").groupBy("id").agg(F.bool_or("versioned").alias("versioned"))
+    hit = rows.join(nodes.select(F.col(node).alias("id"), F.lit(True).alias("in")).distinct(), "id", "left").withColumn("in", F.coalesce("in", F.lit(False)))
+    # Samples by id; the sets are cut in each task before they meet.
+    least = lambda on: F.array_join(F.slice(F.array_sort(F.collect_set(F.when((F.col("in") == on) & (F.col("r") <= samples), F.col("id")))), 1, samples), "|")
+    ranked = hit.withColumn("r", F.row_number().over(Window.partitionBy("in").orderBy("id")))
+    return ranked.agg(F.count("*").alias("n_ids"), F.count_if("versioned").alias("n_versioned"), F.count_if("in").alias("n_mapped"), F.count_if(~F.col("in")).alias("n_unmapped"), least(True).alias("mapped_sample"), least(False).alias("unmapped_sample"))

@@ -148,3 +148,146 @@ def bootstrap(df: DataFrame, key: str, resamples: int, statistic, seed: int = 42
         cuts.append(total)
     w = sum(((u > c).cast("int") for c in cuts), F.lit(0))
     return df.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", w).groupBy("resample").agg(statistic.alias("statistic"))
+
+
+def saved_model_scores(df: DataFrame, model: DataFrame, intercept: float, key: str) -> DataFrame:
+    """df with `linear_score` of a saved model(feature, coefficient, mean, scale). Features that df lacks count as 0 before
+    scaling; a zero or missing scale leaves its feature out. The model has one row a feature and is read by the driver."""
+    terms = {}
+    for r in model.collect():
+        value = F.col(r["feature"]).cast("double") if r["feature"] in df.columns else F.lit(0.0)
+        terms[r["feature"]] = (value, r["mean"], r["scale"], r["coefficient"])
+    return df.withColumn("linear_score", linear_score(terms, intercept)[1])
+
+
+def top_contributions(parts: dict[str, Column], k: int) -> Column:
+    """The k largest contributions by absolute value, ties by name, as "name=value; ..." with 4 digits."""
+    items = F.array(*[F.struct((-F.abs(v)).alias("a"), F.lit(n).alias("n"), v.alias("v")) for n, v in parts.items()])
+    return F.array_join(F.transform(F.slice(F.array_sort(items), 1, k), lambda x: F.concat(x["n"], F.lit("="), F.format_string("%.4f", x["v"]))), "; ")
+
+
+def feature_group(feature: Column, groups: dict[str, list[str]], other: str = "other") -> Column:
+    """The first group any of whose prefixes starts the feature's name."""
+    out = F.lit(other)
+    for name, prefixes in reversed(groups.items()):
+        hit = F.lit(False)
+        for p in prefixes:
+            hit = hit | feature.startswith(p)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def fold_statuses(df: DataFrame, fold: str, label: str, excluded: Column | None = None) -> DataFrame:
+    """Per fold: train and test rows, positives of both, and its status: ok, or why it is skipped."""
+    folds = df.select(F.col(fold).alias("f")).distinct()
+    per = df.groupBy(F.col(fold).alias("f")).agg(F.count("*").alias("n_test"), F.sum(label).alias("test_positives"))
+    total = per.agg(F.sum("n_test").alias("n"), F.sum("test_positives").alias("p"))
+    d = folds.join(per, "f").join(F.broadcast(total)).select("f", "n_test", "test_positives", (F.col("n") - F.col("n_test")).alias("n_train"), (F.col("p") - F.col("test_positives")).alias("train_positives"))
+    one = lambda p, n: (F.col(p) == 0) | (F.col(p) == F.col(n))
+    status = F.when(F.col("n_train") == 0, "skipped_empty_train").when(one("train_positives", "n_train"), "skipped_single_class_train").when(one("test_positives", "n_test"), "ok_single_class_test").otherwise("ok")
+    return d.select(F.col("f").alias(fold), "n_train", "n_test", "train_positives", "test_positives", status.alias("status"))
+
+
+def stacked_scores(df: DataFrame, fold: str, folds: int, base: list[str], second: list[str], label: str, **options) -> DataFrame:
+    """Two stages: out-of-fold scores of `base`, then a model of that score and `second`, each fold scored by the others."""
+    first = cross_validated_scores(df, fold, folds, base, label, **options).withColumnRenamed("linear_score", "baseline_score").where("baseline_score is not null")
+    return cross_validated_scores(first, fold, folds, ["baseline_score", *second], label, **options)
+
+
+def parse_c_grid(text: str) -> list[float]:
+    """Distinct positive numbers of a comma-separated list, ascending."""
+    out = sorted({float(x) for x in text.split(",") if x.strip()})
+    if not out or out[0] <= 0:
+        raise ValueError("C values must be positive")
+    return out
+
+
+def c_sweep(df: DataFrame, fold: str, folds: int, features: list[str], label: str, grid: list[float], l1_share: float = 1.0) -> DataFrame:
+    """C, fold, selected (non-zero coefficients) of each fold's model."""
+    rows = []
+    for c in grid:
+        for f in range(folds):
+            m = balanced_logistic(df.where(F.col(fold) != f), features, label, c, l1_share)
+            if m is not None:
+                rows.append((c, f, int((np.abs(m[0]) > 1e-8).sum())))
+    return df.sparkSession.createDataFrame(rows, "c double, fold int, selected int")
+
+
+def learning_curve(df: DataFrame, key: str, fold: str, held: int, features: list[str], label: str, steps: int = 10, seed: int = 42) -> DataFrame:
+    """train_rows and the mean log-loss on fold `held` of models of growing nested shares of the other folds."""
+    from .statistics import shuffled
+
+    part = F.conv(F.substring(shuffled(F.col(key), F.lit(seed)), 1, 8), 16, 10).cast("double") / (1 << 32)
+    train, test, rows = df.where(F.col(fold) != held).withColumn("part__", part), df.where(F.col(fold) == held), []
+    for i in range(1, steps + 1):
+        some = train.where(F.col("part__") < i / steps)
+        m = balanced_logistic(some, features, label)
+        if m is not None:
+            z = sum((F.col(x) * float(w) for x, w in zip(features, m[0], strict=True)), F.lit(m[1]))
+            loss = F.log1p(F.exp(-F.when(F.col(label) == 1, z).otherwise(-z)))
+            rows.append((i / steps, some.count(), test.agg(F.avg(loss)).first()[0]))
+    return df.sparkSession.createDataFrame(rows, "share double, train_rows long, loss double")
+
+
+def split_views(vector: Column, dim: int) -> tuple[Column, Column]:
+    """The halves of a concatenated vector."""
+    if dim % 2:
+        raise ValueError("the dimension is odd")
+    return F.slice(vector, 1, dim // 2), F.slice(vector, dim // 2 + 1, dim // 2)
+
+
+def has_embedding(vector: Column, eps: float = 1e-12) -> Column:
+    """Whether any component differs from 0."""
+    return F.coalesce(F.exists(vector, lambda x: F.abs(x) > eps), F.lit(False))
+
+
+def reliable_negatives(bags: DataFrame, key: str, size: str, excluded: DataFrame, needed: int, most: int) -> DataFrame:
+    """`needed` keys of small bags (at most `most`) that aren't excluded, drawn by a seeded order."""
+    from .statistics import shuffled
+
+    out = bags.where((F.col(size) > 0) & (F.col(size) <= most)).join(excluded.select(key).distinct(), key, "left_anti")
+    return out.orderBy(shuffled(F.col(key), F.lit(42)), key).limit(needed)
+
+
+def attention_pool(instances: DataFrame, bag: str, score: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Softmax of the scores within each bag, without ever holding a bag: its maximum, then its normaliser, then the
+    weights. Returns instances with `attention`, and (bag, vector), the weighted mean."""
+    top = instances.groupBy(bag).agg(F.max(score).alias("top__"))
+    shifted = instances.join(top, bag).withColumn("e__", F.exp(F.col(score) - F.col("top__")))
+    total = shifted.groupBy(bag).agg(F.sum("e__").alias("total__"))
+    weighted = shifted.join(total, bag).withColumn("attention", F.col("e__") / F.col("total__")).drop("e__", "top__", "total__")
+    parts = weighted.select(bag, "attention", F.posexplode(vector).alias("i", "x")).groupBy(bag, "i").agg(F.sum(F.col("attention") * F.col("x")).alias("x"))
+    return weighted, parts.groupBy(bag).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def gated_score(vector: str, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> Column:
+    """w . (tanh(V x) * sigmoid(U x)), the attention score of one instance."""
+    dot = lambda row: F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(c)) for c in row]), lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x)
+    return sum((F.lit(float(c)) * F.tanh(dot(a)) / (1 + F.exp(-dot(b))) for a, b, c in zip(v, u, w, strict=True)), F.lit(0.0))
+
+
+def attention_mass(weighted: DataFrame, bag: str, tops: tuple[int, ...] = (1, 10, 50), eps: float = 1e-6) -> DataFrame:
+    """Per bag: the attention held by its top instances, and the share of instances with next to none."""
+    from pyspark.sql import Window
+
+    r = weighted.withColumn("r__", F.row_number().over(Window.partitionBy(bag).orderBy(F.desc("attention"))))
+    return r.groupBy(bag).agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("r__") <= k, F.col("attention")).otherwise(0.0)).alias(f"top_{k}") for k in tops], F.avg((F.col("attention") < eps).cast("double")).alias("near_zero"))
+
+
+def word_vectors(docs: DataFrame, tokens: str, dim: int = 200, window: int = 5, least: int = 5, rounds: int = 15, seed: int = 42) -> DataFrame:
+    """(word, vector) by skip-gram (with hierarchical softmax, Spark's form of it). The model, like its vocabulary, is held
+    by the driver; `least` bounds the vocabulary."""
+    from pyspark.ml.feature import Word2Vec
+
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=least, maxIter=rounds, seed=seed, stepSize=0.05, inputCol=tokens, outputCol="v__").fit(docs.select(tokens))
+    from pyspark.ml.functions import vector_to_array
+
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def document_vectors(docs: DataFrame, key: str, tokens: str, vectors: DataFrame) -> DataFrame:
+    """(key, n, vector): the mean vector of a document's known words, every occurrence counted."""
+    words = docs.select(F.col(key), F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("c"))
+    hit = words.join(vectors, "word").select(key, "c", F.posexplode("vector").alias("i", "x"))
+    parts = hit.groupBy(key, "i").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("x"))
+    return parts.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))

@@ -85,3 +85,17 @@ def largest_gap(scores: DataFrame, score: str, top: int = 50, low: float = 0.60,
     gaps = best.select(F.col(score).alias("s"), F.lead(score).over(w).alias("next")).withColumn("gap", F.col("s") - F.col("next"))
     widest = F.max_by((F.col("s") + F.col("next")) / 2, F.struct("gap", "s"))
     return gaps.where("gap is not null").agg(F.coalesce(F.round(F.least(F.greatest(widest, F.lit(low)), F.lit(high)), 2), F.lit(default)).alias("threshold"))
+
+
+def distributed_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with 1..n over the whole table: a range shuffle, numbers within each partition, and each partition's start,
+    of which the driver only sees one count a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id__", F.monotonically_increasing_id())
+    local = local.withColumns({"part__": F.shiftright("id__", 33), "row__": F.col("id__").bitwiseAND(F.lit((1 << 33) - 1))})
+    starts, at = [], 0
+    for r in local.groupBy("part__").agg(F.count("*").alias("n")).orderBy("part__").collect():
+        starts.append((r["part__"], at))
+        at += r["n"]
+    begin = df.sparkSession.createDataFrame(starts or [(0, 0)], "part__ long, begin__ long")
+    return local.join(F.broadcast(begin), "part__").withColumn(name, F.col("begin__") + F.col("row__") + 1).drop("id__", "part__", "row__", "begin__")

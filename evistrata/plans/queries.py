@@ -16,7 +16,8 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        run = QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        run.module = f.__module__.rsplit(".", 1)[-1]
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -29,29 +30,31 @@ def r6(x):
 
 
 def _sql_text(column: str) -> str:
-    """The cleaning chain in SQL, over ASCII text."""
+    """The cleaning chain in SQL. Word boundaries at hyphens are spelled out, as \b is ASCII-only there."""
     q = lambda s: s.replace("'", "''")
-    out = rf"regexp_replace(lower(regexp_replace({column}, '[^\x00-\x7F]', '', 'g')), '\bet\s+al\b', ' ', 'g')"
+    word = r"[\p{L}\p{M}\p{N}_]"
+    out = rf"regexp_replace(lower(translate({column}, '{''.join(X.FOLD)}', '{''.join(X.FOLD.values())}')), '\bet\s+al\b', ' ', 'g')"
     for u in X.UNITS:
         out = f"replace({out}, '{q(u)}', ' ')"
-    ascii_synonyms = [s.replace("’", "") for s in X.SYNONYMS]
-    out = f"regexp_replace({out}, '(?i)({q('|'.join(ascii_synonyms))})', ' {X.ENTITY} ', 'g')"
+    out = f"regexp_replace({out}, '(?i)({q('|'.join(X.SYNONYMS))})', ' {X.ENTITY} ', 'g')"
     out = rf"regexp_replace({out}, '\bals\b', ' {X.ENTITY} ', 'g')"
-    for p, by in X.CLEANING:
+    out = rf"regexp_replace({out}, 'http\S+|www\.\S+', ' ', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '({word})-+\s*', '\1', 'g'), '\s*-+({word})', '\1', 'g')"
+    for p, by in ((r"-{2,}", "-"), (r"\s*-\s*", "-"), (r"[^a-z0-9_\-\s]", " "), (r"\b\d+\b", " "), (r"\bh4\b", " "), (r"\b[a-zA-Z0-9]\b", " "), (r"\s+", " ")):
         out = f"regexp_replace({out}, '{p}', '{by}', 'g')"
     return f"trim({out})"
 
 
-def _ascii(column: str):
-    return F.regexp_replace(column, r"[^\x00-\x7F]", "")
+NORMAL = f"SELECT doc_id, {_sql_text('text')} AS norm FROM documents"
 
 
-NORMAL = f"SELECT doc_id, {_sql_text('text')} AS norm FROM documents"
+def _normal(t) -> DataFrame:
+    return X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(F.col("text"))).select("doc_id", "norm")
 
 
 @query(f"SELECT doc_id, md5(norm) AS digest, length(norm) AS n FROM ({NORMAL})")
 def text_normalize(t) -> DataFrame:
-    return X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(_ascii("text"))).select("doc_id", F.md5("norm").alias("digest"), F.char_length("norm").cast("long").alias("n"))
+    return _normal(t).select("doc_id", F.md5("norm").alias("digest"), F.char_length("norm").cast("long").alias("n"))
 
 
 @query(
@@ -60,23 +63,7 @@ def text_normalize(t) -> DataFrame:
     AND NOT regexp_matches(norm, '(?i)\\b({"|".join(X.EXCLUDED)})\\b')) WHERE r = 1"""
 )
 def corpus_filter_dedup(t) -> DataFrame:
-    norm = X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(_ascii("text"))).select("doc_id", "norm")
-    kept = norm.where(X.long_enough(F.col("norm")) & ~X.is_excluded(F.col("norm")))
-    first = kept.groupBy(F.sha2("norm", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.size(F.split("norm", " ")), "doc_id").alias("n"))
-    return first.select("doc_id", F.col("n").cast("long").alias("n_tokens"))
-
-
-@query()
-def text_normalize_whole(t) -> DataFrame:
-    """text_normalize of the text as it is, characters folded instead of dropped."""
-    return X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(F.col("text"))).select("doc_id", F.md5("norm").alias("digest"), F.char_length("norm").cast("long").alias("n"))
-
-
-@query()
-def corpus_filter_dedup_whole(t) -> DataFrame:
-    """corpus_filter_dedup of the text as it is."""
-    norm = X.once(t("documents").select("doc_id", "text"), "norm", X.normalize(F.col("text"))).select("doc_id", "norm")
-    kept = norm.where(X.long_enough(F.col("norm")) & ~X.is_excluded(F.col("norm")))
+    kept = _normal(t).where(X.long_enough(F.col("norm")) & ~X.is_excluded(F.col("norm")))
     first = kept.groupBy(F.sha2("norm", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.size(F.split("norm", " ")), "doc_id").alias("n"))
     return first.select("doc_id", F.col("n").cast("long").alias("n_tokens"))
 
@@ -193,21 +180,6 @@ def evidence_rollup(t) -> DataFrame:
     )
 
 
-@query(
-    """WITH a AS (SELECT l_partkey AS k, count(*) AS n, round(max(l_quantity), 6) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1),
-    b AS (SELECT p_brand AS k, count(*) AS n, round(max(l_quantity), 6) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND l_partkey % 3 = 0 GROUP BY 1)
-    SELECT p_partkey, p_brand, CASE WHEN a.k IS NOT NULL THEN a.n ELSE b.n END AS n, CASE WHEN a.k IS NOT NULL THEN a.q ELSE b.q END AS q,
-    CASE WHEN a.k IS NOT NULL THEN 'matched_by_id' WHEN b.k IS NOT NULL THEN 'matched_by_symbol_fallback' ELSE 'unmatched' END AS status
-    FROM part LEFT JOIN a ON p_partkey = a.k LEFT JOIN b ON p_brand = b.k"""
-)
-def fallback_join(t) -> DataFrame:
-    li, part = t("lineitem"), t("part").select("p_partkey", "p_brand")
-    roll = lambda d, k, name: d.groupBy(F.col(k).alias(name)).agg(F.count("*").alias("n"), r6(F.max("l_quantity")).alias("q"))
-    first = roll(li.where("l_returnflag = 'R' and l_quantity > 45"), "l_partkey", "k1")
-    second = roll(li.where("l_returnflag = 'A' and l_partkey % 3 = 0").join(part, F.col("l_partkey") == F.col("p_partkey")), "p_brand", "k2")
-    return joins.fallback_join(part, first, second, F.col("p_partkey"), F.col("p_brand"), ["n", "q"], ("matched_by_id", "matched_by_symbol_fallback"))
-
-
 @query(
     """WITH a AS (SELECT l_partkey AS k, count(*) AS n, round(max(l_quantity), 6) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1),
     b AS (SELECT p_brand AS k, count(*) AS n, round(max(l_quantity), 6) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY 1)
@@ -215,8 +187,7 @@ def fallback_join(t) -> DataFrame:
     CASE WHEN a.k IS NOT NULL THEN 'matched_by_id' WHEN b.k IS NOT NULL THEN 'matched_by_symbol_fallback' ELSE 'unmatched' END AS status
     FROM part LEFT JOIN a ON p_partkey = a.k LEFT JOIN b ON p_brand = b.k"""
 )
-def fallback_join_all(t) -> DataFrame:
-    """fallback_join with every part on the fallback side."""
+def fallback_join(t) -> DataFrame:
     li, part = t("lineitem"), t("part").select("p_partkey", "p_brand")
     roll = lambda d, k, name: d.groupBy(F.col(k).alias(name)).agg(F.count("*").alias("n"), r6(F.max("l_quantity")).alias("q"))
     first = roll(li.where("l_returnflag = 'R' and l_quantity > 45"), "l_partkey", "k1")
@@ -435,8 +406,7 @@ def cliffs_delta(t) -> DataFrame:
 
 
 _EDGES = """WITH sp AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), co AS (SELECT x.s AS a, y.s AS b, count(*) AS w FROM sp x JOIN sp y ON x.p = y.p AND x.s <> y.s GROUP BY 1, 2),
-    best AS (SELECT a, b, w FROM (SELECT a, b, w, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM co) WHERE r <= 2),
-    one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w FROM best GROUP BY 1, 2), e AS (SELECT a AS src, b AS dst, w FROM one UNION ALL SELECT b, a, w FROM one)"""
+    one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(w) AS w FROM co GROUP BY 1, 2), e AS (SELECT a AS src, b AS dst, w FROM one UNION ALL SELECT b, a, w FROM one)"""
 
 
 def _shared_parts(t) -> DataFrame:
@@ -445,14 +415,11 @@ def _shared_parts(t) -> DataFrame:
 
 
 def _edges(t) -> DataFrame:
-    return graph.cut(graph.undirected(ranking.top_k(_shared_parts(t), ["a"], "w", ["b"], 2)))
-
-
-def _all_edges(t) -> DataFrame:
     return graph.cut(graph.undirected(_shared_parts(t)))
 
 
-def _pagerank_sql(seeds: str, rounds: int = 10) -> str:
+def _pagerank_sql(seeds: str, rounds: int = 14) -> str:
+    """Rounds unrolled; on this dense graph the later ones change no score by 1e-7."""
     steps = "".join(
         f", x{i + 1} AS (SELECT run_id, node, sum(v) AS v FROM (SELECT run_id, dst AS node, v * p * 0.85 AS v FROM x{i} JOIN t ON node = src UNION ALL SELECT run_id, node, v * 0.15 FROM x0) GROUP BY 1, 2)" for i in range(rounds)
     )
@@ -464,7 +431,7 @@ def ppr_scores(t) -> DataFrame:
     e = _edges(t)
     nodes = e.select(F.col("src").alias("node")).distinct()
     seeds = nodes.select(F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))).alias("run_id"), "node").where("node % run_id = 0")
-    return graph.personalized_pagerank(graph.transitions(e), seeds, iterations=10, tolerance=0.0).withColumn("score", r6("score"))
+    return graph.personalized_pagerank(graph.transitions(e), seeds).withColumn("score", r6("score"))
 
 
 @query(
@@ -485,46 +452,11 @@ def components_degree(t) -> DataFrame:
     return graph.components(e).join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node")
 
 
-@query()
-def ppr_scores_all(t) -> DataFrame:
-    """ppr_scores on every weighted edge, iterated to the operator's tolerance."""
-    e = _all_edges(t)
-    nodes = e.select(F.col("src").alias("node")).distinct()
-    seeds = nodes.select(F.explode(F.array(F.lit(3), F.lit(5), F.lit(7))).alias("run_id"), "node").where("node % run_id = 0")
-    return graph.personalized_pagerank(graph.transitions(e), seeds).withColumn("score", F.round("score", 9))
-
-
-@query()
-def bfs_nearest_all(t) -> DataFrame:
-    """bfs_nearest on every edge."""
-    e = _all_edges(t)
-    return graph.distances(e, e.where("src % 10 = 0").select(F.col("src").alias("node"))).select("node", F.col("distance").cast("int").alias("distance"))
-
-
-@query()
-def components_degree_all(t) -> DataFrame:
-    """components_degree on every edge."""
-    e = _all_edges(t)
-    return graph.components(e).join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node")
-
-
-@query(
-    """SELECT * FROM (SELECT q.vec_id AS query, c.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS "rank" FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 5) WHERE "rank" <= 10"""
-)
-def cosine_topk(t) -> DataFrame:
-    e = t("embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qe"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(S.cosine(F.col("qe"), F.col("embedding")), 9).alias("s"))
-    return ranking.top_k(pairs, ["query"], "s", ["vec_id"], 10).select("query", "vec_id", r6("s").alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
 @query(
     """SELECT * FROM (SELECT q.vec_id AS query, c.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS "rank" FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0) WHERE "rank" <= 10"""
 )
-def cosine_topk_all(t) -> DataFrame:
-    """cosine_topk of every row whose id is divisible by 20."""
+def cosine_topk(t) -> DataFrame:
     e = t("embeddings").select("vec_id", "embedding")
     return ranking.nearest_by_cosine(e.where("vec_id % 20 = 0"), e, 10).select("query", "vec_id", r6("s").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -541,22 +473,12 @@ def standardize_pca(t) -> DataFrame:
     return models.project(e, "v", models.principal_components(e, "v", 4)).select("vec_id", F.transform("pcs", lambda x: F.round(x, 4)).alias("pcs"))
 
 
-@query(
-    """WITH d AS (SELECT l_orderkey AS locus, l_partkey AS gene FROM lineitem WHERE l_orderkey < 200)
-    SELECT f.locus, count(*) FILTER (d.locus = f.locus) AS test, count(*) FILTER (d.locus <> f.locus AND EXISTS (SELECT 1 FROM d x WHERE x.locus = f.locus AND x.gene = d.gene)) AS excluded,
-    count(*) FILTER (d.locus <> f.locus AND NOT EXISTS (SELECT 1 FROM d x WHERE x.locus = f.locus AND x.gene = d.gene)) AS train FROM (SELECT DISTINCT locus FROM d) f, d GROUP BY 1"""
-)
-def lolo_folds(t) -> DataFrame:
-    return models.holdout_folds(t("lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").alias("locus"), F.col("l_partkey").alias("gene")), "locus", "gene")
-
-
 @query(
     """WITH p AS (SELECT l_orderkey AS locus, l_partkey AS gene, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT gene, sum(n) AS everywhere FROM p GROUP BY 1),
     f AS (SELECT locus, sum(n)::BIGINT AS test, sum(everywhere - n)::BIGINT AS excluded FROM p JOIN g USING (gene) GROUP BY 1)
     SELECT locus, test, excluded, (SELECT count(*) FROM lineitem) - test - excluded AS train FROM f"""
 )
-def lolo_folds_all(t) -> DataFrame:
-    """lolo_folds of every locus, over all rows."""
+def lolo_folds(t) -> DataFrame:
     return models.holdout_folds(t("lineitem").select(F.col("l_orderkey").alias("locus"), F.col("l_partkey").alias("gene")), "locus", "gene")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans import analysis, linking, modelling, queries, records
 from .plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
+MODULES = {name: f.module for name, f in QUERIES.items()}

@@ -53,7 +53,7 @@ def test_rows_only(spark):
 
 def test_all_loci_have_folds(spark):
     li = pd.read_parquet(f"{DATA}/lineitem.parquet")[["l_orderkey", "l_partkey"]]
-    got = {r["locus"]: (r["test"], r["excluded"], r["train"]) for r in registry.QUERIES["lolo_folds_all"](spark, DATA).collect()}
+    got = {r["locus"]: (r["test"], r["excluded"], r["train"]) for r in registry.QUERIES["lolo_folds"](spark, DATA).collect()}
     assert set(got) == set(li.l_orderkey)
     for locus in sorted(got)[::50]:
         own = li.l_orderkey == locus
@@ -64,7 +64,7 @@ def test_all_loci_have_folds(spark):
 def test_fallback_takes_all_parts(spark):
     li, part = pd.read_parquet(f"{DATA}/lineitem.parquet"), pd.read_parquet(f"{DATA}/part.parquet")
     by_brand = li[li.l_returnflag == "A"].merge(part, left_on="l_partkey", right_on="p_partkey").groupby("p_brand").size()
-    rows = [r for r in registry.QUERIES["fallback_join_all"](spark, DATA).collect() if r["status"] == "matched_by_symbol_fallback"]
+    rows = [r for r in registry.QUERIES["fallback_join"](spark, DATA).collect() if r["status"] == "matched_by_symbol_fallback"]
     assert rows and all(r["n"] == by_brand[r["p_brand"]] for r in rows)
 
 
@@ -76,7 +76,7 @@ def test_cosine_of_every_twentieth(spark, monkeypatch):
     ids, v = e.vec_id.to_numpy(), np.stack(e.embedding).astype(float)
     s = np.round(v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)), 9)
     want = {(int(ids[q]), int(c), r + 1) for q in np.flatnonzero(ids % 20 == 0) for r, c in enumerate([ids[c] for c in np.lexsort((ids, -s[q])) if c != q][:10])}
-    got = {(r["query"], r["vec_id"], r["rank"]) for r in registry.QUERIES["cosine_topk_all"](spark, DATA).collect()}
+    got = {(r["query"], r["vec_id"], r["rank"]) for r in registry.QUERIES["cosine_topk"](spark, DATA).collect()}
     assert got == want and len({q for q, _, _ in got}) == (ids % 20 == 0).sum()
 
 
@@ -93,7 +93,7 @@ def test_graph_queries_on_all_edges(spark, li, tmp_path):
     on = w.sum(axis=1) > 0
     ids, w = has.index.to_numpy()[on], w[on][:, on]
     rows = lambda name: registry.QUERIES[name](spark, sf_dir).collect()
-    got = {(r["run_id"], r["node"]): r["score"] for r in rows("ppr_scores_all")}
+    got = {(r["run_id"], r["node"]): r["score"] for r in rows("ppr_scores")}
     reach = np.linalg.matrix_power((w > 0) + np.eye(len(w)), len(w)) > 0
     for run in (3, 5, 7):
         s = (ids % run == 0).astype(float)
@@ -102,13 +102,13 @@ def test_graph_queries_on_all_edges(spark, li, tmp_path):
             continue
         s /= s.sum()
         exact = np.linalg.solve(np.eye(len(w)) - 0.85 * (w / w.sum(axis=1, keepdims=True)).T, 0.15 * s)
-        assert all(abs(got.get((run, i), 0.0) - x) < (1e-6 if li else 2e-9) for i, x in zip(ids, exact, strict=True))
+        assert all(abs(got.get((run, i), 0.0) - x) <= 1e-6 for i, x in zip(ids, exact, strict=True))
     far = np.where(ids % 10 == 0, 0, -1)
     for d in range(1, len(w)):
         far[(far < 0) & (w[:, far == d - 1].sum(axis=1) > 0)] = d
-    assert {r["node"]: r["distance"] for r in rows("bfs_nearest_all")} == {i: d for i, d in zip(ids, far, strict=True) if d >= 0}
+    assert {r["node"]: r["distance"] for r in rows("bfs_nearest")} == {i: d for i, d in zip(ids, far, strict=True) if d >= 0}
     want = {i: (ids[reach[k]].min(), (w[k] > 0).sum()) for k, i in enumerate(ids)}
-    assert {r["node"]: (r["component"], r["degree"]) for r in rows("components_degree_all")} == want
+    assert {r["node"]: (r["component"], r["degree"]) for r in rows("components_degree")} == want
 
 
 def normalized(text):
@@ -134,12 +134,12 @@ def test_texts_are_normalized_whole(spark, tmp_path):
     rows += [(10**9 + i, t) for i, t in enumerate(more)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     norm = {i: normalized(t) for i, t in rows if t is not None}
-    got = {r["doc_id"]: (r["digest"], r["n"]) for r in registry.QUERIES["text_normalize_whole"](spark, str(tmp_path)).collect() if r["n"] is not None}
+    got = {r["doc_id"]: (r["digest"], r["n"]) for r in registry.QUERIES["text_normalize"](spark, str(tmp_path)).collect() if r["n"] is not None}
     assert got == {i: (hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in norm.items()}
     want = {}
     for i in sorted(norm):
         t = norm[i]
         if len(t) > X.MIN_CHARS and len(t.split(" ")) > X.MIN_TOKENS and not re.search(rf"(?i)\b({'|'.join(X.EXCLUDED)})\b", t):
             want.setdefault(t, (i, len(t.split(" "))))
-    assert {(r["doc_id"], r["n_tokens"]) for r in registry.QUERIES["corpus_filter_dedup_whole"](spark, str(tmp_path)).collect()} == set(want.values())
+    assert {(r["doc_id"], r["n_tokens"]) for r in registry.QUERIES["corpus_filter_dedup"](spark, str(tmp_path)).collect()} == set(want.values())
     assert [10**9 + i in {i for i, _ in want.values()} for i in range(3)] == [True, True, False]
