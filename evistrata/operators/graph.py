@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,14 @@ CUT_EVERY = 3
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the session's shared folder (a temporary one where none is set, as in tests)."""
+    """df checkpointed to the session's shared folder. Where none is set, a temporary one on a single machine only."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evistrata-"))
+        root = sc.getConf().get("spark.checkpoint.dir", None)
+        if root is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="evistrata-"))
     return df.checkpoint()
 
 

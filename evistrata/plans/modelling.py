@@ -142,15 +142,15 @@ def saved_model(t) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, unnest(['q', 'd', 't']) AS n, unnest([(l_quantity - 25) / 14 * 0.8, (l_discount - 0.05) / 0.03 * -1.2, l_tax * 7]) AS v FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY abs(v) DESC, n) AS r FROM c)
-    SELECT l_orderkey, l_linenumber, l_partkey, max(n) FILTER (r = 1) AS first, max(n) FILTER (r = 2) AS second FROM r WHERE r <= 2 GROUP BY 1, 2, 3 HAVING count(*) = 2"""
+    """WITH d AS (SELECT row_number() OVER () AS row, * FROM lineitem), c AS (SELECT row, l_returnflag, unnest(['q', 'd', 't']) AS n, unnest([(l_quantity - 25) / 14 * 0.8, (l_discount - 0.05) / 0.03 * -1.2, l_tax * 7]) AS v FROM d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY abs(v) DESC, n) AS r FROM c), t AS (SELECT row, l_returnflag, max(n) FILTER (r = 1) AS first, max(n) FILTER (r = 2) AS second FROM r WHERE r <= 2 GROUP BY 1, 2)
+    SELECT l_returnflag, first, second, count(*) AS n FROM t GROUP BY 1, 2, 3"""
 )
 def row_contributions(t) -> DataFrame:
     parts, _ = models.linear_score({"q": (k("l_quantity"), 25, 14, 0.8), "d": (k("l_discount"), 0.05, 0.03, -1.2), "t": (k("l_tax"), 0, 1, 7)}, 0.0)
-    once = t("lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
     text = F.split(models.top_contributions(parts, 2), "; ")
     name = lambda i: F.substring_index(text[i], "=", 1)
-    return once.select("l_orderkey", "l_linenumber", "l_partkey", name(0).alias("first"), name(1).alias("second"))
+    return t("lineitem").select("l_returnflag", name(0).alias("first"), name(1).alias("second")).groupBy("l_returnflag", "first", "second").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_type AS feature, CASE WHEN p_type LIKE 'STANDARD%' OR p_type LIKE 'SMALL%' THEN 'plain' WHEN p_type LIKE 'ECONOMY%' THEN 'cheap' ELSE 'other' END AS grp, round(avg(p_size), 6) AS coefficient, (avg(p_size) <> 0)::INT AS non_zero FROM part GROUP BY 1")

@@ -29,13 +29,20 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet, CSV or TSV by suffix; anything else is an error."""
+def sniffed(spark: SparkSession, path: str) -> str:
+    """The separator that occurs most often in the first line, of tab, comma, semicolon and bar."""
+    head = next((r["value"] for r in spark.read.text(path).limit(1).collect()), "")
+    return max("\t,;|", key=head.count)
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Parquet, CSV or TSV by suffix, .txt by its first line; anything else is an error. Files whose quoted values span
+    lines need multi_line and can't be split among tasks."""
     low = path.lower().removesuffix(".gz")
     if low.endswith((".parquet", ".pq")):
         return nan_to_null(spark.read.parquet(path))
     if low.endswith((".csv", ".tsv", ".txt")):
-        reader = spark.read.option("header", True).option("sep", "," if low.endswith(".csv") else "\t").option("escape", "\\").option("multiLine", True)
+        reader = spark.read.option("header", True).option("sep", "," if low.endswith(".csv") else "\t" if low.endswith(".tsv") else sniffed(spark, path)).option("escape", "\\").option("multiLine", multi_line)
         return nan_to_null((reader.schema(schema) if schema else reader).csv(path))
     raise ValueError(f"unsupported file type: {path}")
 
@@ -49,6 +56,10 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Trimmed non-empty lines; none where there is no such file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], "value string")
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
 
 
