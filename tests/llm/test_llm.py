@@ -345,23 +345,77 @@ def test_pitman_yor(spark, monkeypatch):
     assert pitman_yor.score_documents(none).first()["score"] == 0
 
 
-def test_pitman_yor_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    words = np.sort(rng.integers(1, 1 << 60, 30).astype(np.uint64))
-    kinds = np.unique(rng.integers(0, 30, 200) << 8 | rng.integers(0, 5, 200))
-    counts = rng.integers(1, 200, len(kinds))
-    s = pitman_yor.Seating(words, kinds, counts, 0)
-    fixed = {"n": int(counts.sum()), "v": 30, "base": 1 / 31, "d0": 0.6, "d1": 0.7}
-    states = [pitman_yor._state(s.totals(), fixed)]
+def brute_pitman_yor(toks, held, contexts, spread, buckets):
+    """The model on plain dictionaries, one bucket after the other, with the same random draws."""
+    end, h = b" ", lambda w: xxhash.xxh64_intdigest(w)
+    train = [ws for i, ws in sorted(toks.items()) if i not in held]
+    c = Counter(w for ws in train for w in ws)
+    n, v = sum(c.values()), len(c)
+    often = {w for w in c if c[w] * contexts >= n} | {end}
+    wide = {w for w in often & set(c) if c[w] * spread >= n}
+    of = lambda ws: list(zip([end, *ws], ws, strict=False))
+    place = {w: k for k, w in enumerate(sorted(often, key=h))}
+    types = Counter((w, u if u in often else None) for ws in train for u, w in of(ws))
+    index = lambda u: place.get(u, len(place))
+
+    def bucket(w, u):
+        return (index(u) * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % buckets if w in wide else h(w) % buckets
+
+    d0, d1 = (pitman_yor.discount(sum(x == 1 for x in y.values()), sum(x == 2 for x in y.values())) for y in (c, types))
+    base, groups = 1 / (v + 1), {}
+    for w, u in sorted(types, key=lambda t: (h(t[0]), index(t[1]))):
+        groups.setdefault(bucket(w, u), []).append((w, u))
+    tables = dict.fromkeys(types, 1)
+    cust = lambda: Counter({w: sum(tables[t] for t in types if t[0] == w) for w in c})
+    local = lambda b: {w: sum(tables[t] for t in groups[b] if t[0] == w) for w, _ in groups[b]}
+    root = {(b if w not in wide else None, w): 1 for b in groups for w, _ in groups[b]}
+
+    def state():
+        k, r = cust(), {w: sum(x for (_, y), x in root.items() if y == w) for w in c}
+        t = Counter()
+        for (_, u), x in tables.items():
+            t[u] += x
+        p0 = lambda w: (k.get(w, 0) - d0 * r.get(w, 0) + (1 + d0 * sum(r.values())) * base) / (1 + sum(k.values()))
+        return {"p0": {w: p0(w) for w in [*c, None]}, "t": t, "weight": (1 + d0 * sum(r.values())) * base}
+
+    ctx_total = Counter()
+    for (_, u), x in types.items():
+        ctx_total[u] += x
+    after, now = [], state()
     for i in range(pitman_yor.BURN + pitman_yor.SAMPLES):
-        s.sweep(states[-1], i)
-        states.append(pitman_yor._state(s.totals(), fixed))
-    assert (s.tables <= s.counts).all() and (s.root <= s.customers()).all()
-    model = pitman_yor.Predictive([pitman_yor.Seating(words, kinds, counts, 0)], states)
-    for ctx in (0, 3, 200):
-        asked = np.append(words, np.uint64(7))  # and the unknown word
-        p, _ = model.look_up(asked, np.ones(31, dtype=np.int64), np.full(31, ctx))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+        for b, ts in groups.items():
+            rng = np.random.default_rng([pitman_yor.SEED, b + 1, i])
+            got = pitman_yor._seat(np.array([types[t] for t in ts]), np.array([(1 + d1 * now["t"][u]) * now["p0"][w] for w, u in ts]), d1, rng)
+            tables.update(zip(ts, got.tolist(), strict=True))
+            mine = local(b)
+            seats = pitman_yor._seat(np.array(list(mine.values())), np.full(len(mine), now["weight"]), d0, rng)
+            root.update({(b, w): x for w, x in zip(mine, seats.tolist(), strict=True) if w not in wide})
+        some, k = sorted(wide, key=h), cust()
+        seats = pitman_yor._seat(np.array([k[w] for w in some], dtype=np.int64), np.full(len(some), now["weight"]), d0, np.random.default_rng([pitman_yor.SEED, 0, i + 1]))
+        root.update({(None, w): x for w, x in zip(some, seats.tolist(), strict=True)})
+        now = state()
+        if i >= pitman_yor.BURN:
+            after.append((now, dict(tables)))
+
+    def p(w, u):
+        u = u if u in often else None
+        return float(np.mean([((types[w, u] - d1 * t[w, u]) if (w, u) in types else 0) / (1 + ctx_total[u]) + (1 + d1 * m["t"][u]) / (1 + ctx_total[u]) * m["p0"].get(w, m["p0"][None]) for m, t in after]))
+
+    return {i: sum(math.log10(p(w, u)) for u, w in of(ws)) for i, ws in toks.items()}, p, c
+
+
+@pytest.mark.parametrize("contexts,spread", [(1 << 15, 64), (20, 5), (40, 1)])
+def test_pitman_yor_scores(spark, contexts, spread):
+    """Scores against the model on plain dictionaries; with all words as contexts, with some, and with and without spread
+    words. The probabilities of a context sum to one."""
+    docs, rows = make_docs(spark, ["word " * 300, "ÀB CD"], n=80)
+    toks = {i: [*(t or "").encode().lower().split(), b" "] for i, t, _ in rows}
+    held = {i for i in toks if zlib.crc32(str(i).encode()) % 7 == 2}
+    want, p, c = brute_pitman_yor(toks, held, contexts, spread, common.partitions(spark))
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(docs, contexts, spread).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-6, abs_tol=1e-5) for i, x in want.items())
+    for u in (b" ", b"the", b"alpha", b"never seen"):
+        assert math.isclose(sum(p(w, u) for w in [*c, b"unknown"]), 1, rel_tol=1e-9)
 
 
 def test_clashing_extra_columns(spark):
