@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import keep, running
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: A recipe of more sources is joined by shuffling.
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -62,7 +64,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     k = F.col("row_index") - F.col("begin")
     before, after = F.floor(k * F.col("rate") + F.col("shift")), F.floor((k + 1) * F.col("rate") + F.col("shift"))
     copies = F.least(after - before, F.lit(int(most))).cast("long")
-    out = laid.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name"))).withColumn("copies", copies)
+    plan = F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
+    out = laid.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

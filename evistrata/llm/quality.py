@@ -6,8 +6,9 @@ charge), and the sizes are summed. The size difference, normalised by the larger
 the compressed share are turned into a probability by a logistic calibration fitted on labelled rows that the
 dictionaries haven't seen.
 
-Bounds: at most PER_CLASS texts of each class feed a dictionary and CALIBRATION texts the calibration, chosen by hash
-of their id among rows whose text is at most SAMPLE_BYTES long. All texts are scored, whole.
+Bounds: at most PER_CLASS texts of each class, of any length, feed a dictionary, with at most SAMPLE_BLOCKS of their
+blocks, and CALIBRATION texts the calibration, chosen by hash. Only those blocks and three numbers a calibration text
+reach the driver. All texts are scored, whole.
 
 Defined cases: null text = empty text; an empty text has all features 0 and so one fixed score; null or unknown
 labels aren't learned from; without both labels the score is the share of label 1 (0.5 without any); repeated rows
@@ -20,14 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import byte_slices, keep
+
 PER_CLASS = 1000
 CALIBRATION = 4000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BLOCKS = 8000
 DICTIONARY_BYTES = 30_000
 BLOCK = 400
 LEVEL = 3
@@ -39,12 +43,25 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def build_dictionary(blocks: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
-    except zstandard.ZstdError:  # too little text to train from: the text itself
-        return b" ".join(blocks)[:DICTIONARY_BYTES] or b" "
+    except zstandard.ZstdError:  # too little text to train from: as many blocks as a dictionary holds
+        return b" ".join(blocks[: DICTIONARY_BYTES // (BLOCK + 1)]) or b" "
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, part, text) -> (part, h, block): every block of every text, with a hash that decides which are taken."""
+    for batch in batches:
+        for b in byte_slices(batch, "text"):
+            parts, hashes, blocks = [], [], []
+            for doc_id, part, t in zip(b["doc_id"].to_pylist(), b["part"].to_pylist(), b["text"], strict=True):
+                text = t.as_py() or b""
+                for i in range(0, len(text), BLOCK):
+                    parts.append(part)
+                    hashes.append(xxhash.xxh64_intdigest(f"{doc_id}:{i}") >> 1)
+                    blocks.append(text[i : i + BLOCK])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(hashes, pa.int64()), pa.array(blocks, pa.binary())], names=["part", "h", "block"])
 
 
 class Sizes:
@@ -100,9 +117,8 @@ def scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[bytes, bytes, np.ndarray] | float:
     """docs(doc_id, text), labels(doc_id, quality) -> dictionaries and calibration, or a constant without both labels."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id"), folds) != 0).select("doc_id", "quality")
-    texts = docs.where("text is not null").select("doc_id", "text")
-    sizes = texts.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id")
-    usable = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(sizes.distinct(), "doc_id")
+    texts = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    usable = keep(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).join(texts.select("doc_id").distinct(), "doc_id"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [usable.where(F.col("quality") == q).orderBy(*order).limit(PER_CLASS).withColumn("part", F.lit(q)) for q in (1, 0)]
     rest = usable.orderBy(F.xxhash64("doc_id", F.lit("calibration")), "doc_id").limit(2 * PER_CLASS + CALIBRATION).withColumn("part", F.lit(2))
@@ -111,16 +127,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[bytes
     picked = {i: (q, part) for i, q, part in ids if part < 2} | {i: (q, part) for i, q, part in ids if part == 2 and i not in used}
     if not {0, 1} <= {q for q, _ in picked.values()}:
         return float(np.mean([q for q, _ in picked.values()])) if picked else 0.5
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
-    found = dict(sorted((r["doc_id"], r["text"].encode()) for r in texts.join(F.broadcast(wanted), "doc_id", "left_semi").collect()))
-    part_of = lambda k: [t for i, t in found.items() if picked[i][1] == k]
-    good, bad = build_dictionary(part_of(1)), build_dictionary(part_of(0))
-    held = [i for i in found if picked[i][1] == 2] or list(found)
+    held = [i for i, (_, part) in picked.items() if part == 2]
     if len({picked[i][0] for i in held}) < 2:
-        held = list(found)
-    sized = Sizes(good, bad)
-    features = np.array([sized.features(found[i]) for i in held])
-    return good, bad, calibrate(features, np.array([picked[i][0] for i in held]))
+        held = list(picked)
+    wanted = docs.sparkSession.createDataFrame([(i, part) for i, (_, part) in picked.items()], "doc_id long, part int")  # at most 4 * PER_CLASS + CALIBRATION rows
+    mine = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "part", "text")
+    blocks = mine.where("part < 2").mapInArrow(_blocks, "part int, h long, block binary")
+    some = [[bytes(r["block"]) for r in blocks.where(F.col("part") == k).orderBy("h", "block").limit(SAMPLE_BLOCKS).collect()] for k in (1, 0)]
+    good, bad = build_dictionary(some[0]), build_dictionary(some[1])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sized = Sizes(good, bad)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([sized.features(t.as_py() or b"") for t in b["text"]], pa.list_(pa.float64()))], names=["doc_id", "f"])
+
+    asked = set(held)
+    rows = {r["doc_id"]: r["f"] for r in mine.mapInArrow(measure, "doc_id long, f array<double>").collect() if r["doc_id"] in asked}
+    held = sorted(rows)
+    return good, bad, calibrate(np.array([rows[i] for i in held]), np.array([picked[i][0] for i in held]))
 
 
 def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | float, key: str = "doc_id") -> DataFrame:

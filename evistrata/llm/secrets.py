@@ -15,10 +15,12 @@ its span over what must not stay: up to the END line, or over the base64 block w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean_text, keep
+from .common import clean_text, keep, shared_dir
 
 #: kind -> (version, pattern, least length, group that the length is of). Base kinds first, in their listed order.
 RULES: dict[str, tuple[int, str, int, int]] = {
@@ -83,6 +85,28 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, D
     return paths, findings, due.select("blob", F.col("need").alias("rules"))
 
 
+class Ledger:
+    """A ledger and its findings, kept as tables in a folder and added to by every scan."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, name: str) -> DataFrame | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def scan(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """paths of docs, and the findings of all scans so far. Texts whose blob and rules the ledger has aren't read by
+        any rule. The findings are written first: a scan that is cut off between the two is scanned again, and its
+        repeated findings count once."""
+        paths, found, added = scan(docs, self._read("ledger"))
+        found.write.mode("append").parquet(f"{self.path}/findings")
+        added.write.mode("append").parquet(f"{self.path}/ledger")
+        return paths, self._read("findings").distinct()
+
+
 def by_blob(findings: DataFrame) -> DataFrame:
     """findings -> (blob, spans): one sorted array of (start, kind, end) per blob."""
     return findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
@@ -121,7 +145,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, findings, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    paths, findings = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}").scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     out = paths.join(keep(by_blob(findings)), "blob", "left").withColumn("spans", F.coalesce("spans", none))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")

@@ -1,8 +1,8 @@
 """URL filter: hand-written rules first, then a tree of path templates per host.
 
 Templates. Digits in a path segment become "{n}". Then, level by level below each host, a node whose children are many
-and mostly seen once becomes a wildcard: at least VARIABLE distinct segments, over half as many as visits. Levels past
-DEPTH keep their digit-generalised segments.
+and mostly seen once becomes a wildcard: at least VARIABLE distinct segments, over half as many as visits. A path is done
+once fewer than VARIABLE paths share its template so far, as no node below it can be variable then.
 
 Verdicts. URLs that a rule decides are the labelled ones. A labelled branch (first segment of a host) whose share of
 blocked labels differs from that of its host by less than Z standard errors is merged with the host's other branches.
@@ -26,7 +26,6 @@ from .common import keep
 #: verdict, host, path; the longest fitting rule wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 VARIABLE = 8
-DEPTH = 8
 SMOOTH = 2.0
 Z = 1.96
 PRIOR = 0.5
@@ -53,19 +52,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def path_templates(shapes: DataFrame) -> DataFrame:
     """shapes(host, shape, n) -> (host, shape, template): segments below variable nodes become "*"."""
     seg = F.split(F.expr("substring(shape, 2)"), "/")
-    out = keep(shapes.groupBy("host", "shape").agg(F.sum("n").alias("n")).withColumn("segs", seg).withColumn("template", F.lit("")))
-    deepest = out.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(min(deepest, DEPTH)):
-        here = F.get("segs", F.lit(d))
-        children = out.where(here.isNotNull()).groupBy("host", "template", here.alias("seg")).agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("visits"))
-        variable = nodes.where((F.col("kinds") >= VARIABLE) & (F.col("kinds") * 2 > F.col("visits"))).select("host", "template", F.lit(True).alias("variable"))
-        step = F.when(here.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("variable"), "*").otherwise(here)))
-        out = out.join(variable, ["host", "template"], "left").select("host", "shape", "n", "segs", F.concat("template", step).alias("template"))
-        if d % 3 == 2:
-            out = keep(out)
-    rest = F.when(F.size("segs") > DEPTH, F.concat(F.lit("/"), F.array_join(F.slice("segs", DEPTH + 1, 1 << 30), "/"))).otherwise("")
-    return out.select("host", "shape", F.concat("template", rest).alias("template"))
+    left = keep(shapes.groupBy("host", "shape").agg(F.sum("n").alias("n")).withColumn("segs", seg).withColumn("template", F.lit("")))
+    done, d = [], 0
+    rest = lambda d: F.when(F.size("segs") > d, F.concat(F.lit("/"), F.array_join(F.slice("segs", d + 1, 1 << 30), "/"))).otherwise("")
+    finished = lambda df, d: df.select("host", "shape", F.concat("template", rest(d)).alias("template"))
+    while not left.isEmpty():
+        for _ in range(3):
+            here = F.get("segs", F.lit(d))
+            children = left.where(here.isNotNull()).groupBy("host", "template", here.alias("seg")).agg(F.sum("n").alias("n"))
+            nodes = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("visits"))
+            variable = nodes.where((F.col("kinds") >= VARIABLE) & (F.col("kinds") * 2 > F.col("visits"))).select("host", "template", F.lit(True).alias("variable"))
+            step = F.when(here.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("variable"), "*").otherwise(here)))
+            left = left.join(variable, ["host", "template"], "left").select("host", "shape", "n", "segs", F.concat("template", step).alias("template"))
+            d += 1
+        crowded = left.where(F.size("segs") > d).groupBy("host", "template").agg(F.count("*").alias("paths")).where(F.col("paths") >= VARIABLE).select("host", "template", F.lit(True).alias("crowded"))
+        split = keep(left.join(crowded, ["host", "template"], "left").withColumn("on", F.coalesce("crowded", F.lit(False)) & (F.size("segs") > d)).drop("crowded"))
+        done.append(finished(split.where(~F.col("on")), d))
+        left = split.where("on").drop("on")
+    out = done[0] if done else finished(left, 0)
+    for part in done[1:]:
+        out = out.union(part)
+    return out
 
 
 def template_verdicts(templates: DataFrame) -> DataFrame:
