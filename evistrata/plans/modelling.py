@@ -240,7 +240,7 @@ def stacked_scores(t) -> DataFrame:
 
 @query()
 def c_sweep(t) -> DataFrame:
-    return models.c_sweep(_labelled(t), "fold", 2, ["length", "upper", "marks"], "y", models.parse_c_grid("0.01,0.1,1"))
+    return models.c_sweep(_labelled(t), "fold", 2, ["length", "upper", "marks"], "y", models.parse_c_grid("0.1,1"))
 
 
 @query()

@@ -31,9 +31,14 @@ def joined_set(values: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")))), "|")
 
 
+def parsed(raw: DataFrame, column: str, schema: str, *others: Column) -> DataFrame:
+    """raw with `r`, its JSON parsed once: the fields taken from r above can't have the parser run again."""
+    return raw.select(*others, F.explode(F.array(F.from_json(column, schema))).alias("r"))
+
+
 def credible_sets(raw: DataFrame, column: str = "json") -> DataFrame:
     """raw(json) -> one row of 19 columns for each credible set."""
-    r = raw.select(F.from_json(column, CREDIBLE_SET).alias("r")).select("r.*")
+    r = parsed(raw, column, CREDIBLE_SET).select("r.*")
     return r.select(
         F.col("studyLocusId").alias("study_locus_id"), F.col("studyId").alias("study_id"), F.col("studyType").alias("study_type"), S.chromosome(F.col("chromosome")).alias("chromosome"),
         S.to_long(F.col("position")).alias("position"), "region", S.to_long(F.col("credibleSetIndex")).alias("credible_set_index"), S.to_double(F.col("pValueMantissa")).alias("p_value_mantissa"),
@@ -51,7 +56,7 @@ def filled(*columns: str) -> Column:
 
 def colocalisations(raw: DataFrame, locus: str = "gwas_study_locus_id", column: str = "json", study_types: Sequence[str] = ()) -> DataFrame:
     """raw(locus, json) -> 18 columns; records without a QTL locus id, or of other study types, are dropped."""
-    r = raw.select(F.col(locus).alias("gwas_study_locus_id"), F.from_json(column, COLOCALISATION).alias("r"))
+    r = parsed(raw, column, COLOCALISATION, F.col(locus).alias("gwas_study_locus_id"))
     o, s = "r.otherStudyLocus", "r.otherStudyLocus.study"
     out = r.select(
         "gwas_study_locus_id", F.col(f"{o}.studyLocusId").alias("qtl_study_locus_id"), filled(f"{o}.studyId", f"{s}.id").alias("qtl_study_id"), filled(f"{o}.studyType", f"{s}.studyType").alias("qtl_study_type"),
@@ -68,7 +73,7 @@ def colocalisations(raw: DataFrame, locus: str = "gwas_study_locus_id", column:
 def associations(raw: DataFrame, datasource: str, column: str = "json") -> DataFrame:
     """raw(json) -> gene_id, gene_symbol, clinvar_eva_score, association_score_global: per target the first non-null score
     of the datasource (whatever its case), targets without one dropped, the highest row of each (gene_id, gene_symbol)."""
-    r = raw.select(F.from_json(column, ASSOCIATION).alias("r"))
+    r = parsed(raw, column, ASSOCIATION)
     mine = F.filter("r.datasourceScores", lambda d: (F.lower(F.trim(d["id"])) == datasource.strip().lower()) & S.to_double(d["score"]).isNotNull())
     rows = r.select(S.gene_id(F.col("r.target.id")).alias("gene_id"), S.gene_symbol(F.col("r.target.approvedSymbol")).alias("gene_symbol"), S.to_double(F.get(mine, F.lit(0))["score"]).alias("s"), S.to_double(F.col("r.score")).alias("g"))
     best = rows.where("s is not null").groupBy("gene_id", "gene_symbol").agg(F.max(F.struct("s", "g")).alias("b"))
