@@ -291,3 +291,55 @@ def document_vectors(docs: DataFrame, key: str, tokens: str, vectors: DataFrame)
     hit = words.join(vectors, "word").select(key, "c", F.posexplode("vector").alias("i", "x"))
     parts = hit.groupBy(key, "i").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("x"))
     return parts.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def with_components(df: DataFrame, vector: str, dim: int, prefix: str = "e") -> tuple[DataFrame, list[str]]:
+    """df with a column for each component of a vector, and their names."""
+    names = [f"{prefix}{i}" for i in range(dim)]
+    return df.withColumns({n: F.get(vector, F.lit(i)).cast("double") for i, n in enumerate(names)}), names
+
+
+def linear(model: tuple[np.ndarray, float], features: list[str]) -> Column:
+    return sum((F.col(x) * float(w) for x, w in zip(features, model[0], strict=True)), F.lit(model[1]))
+
+
+def scored_universe(df: DataFrame, key: str, fold: str, folds: int, features: list[str], label: str, **options) -> DataFrame:
+    """df (fold and label null off the gold set) with `linear_score` and `rank`: gold rows scored by the other folds' model,
+    all others by the model of the whole gold set."""
+    from .ranking import distributed_row_number
+
+    gold = df.where(F.col(label).isNotNull())
+    inside = cross_validated_scores(gold, fold, folds, features, label, **options)
+    full = balanced_logistic(gold, features, label, **options)
+    if full is None:
+        raise ValueError("the gold set has one class only")
+    outside = df.where(F.col(label).isNull()).withColumn("linear_score", linear(full, features))
+    both = inside.union(outside.select(*inside.columns))
+    return distributed_row_number(both, [F.desc_nulls_last("linear_score"), F.asc(key)], "rank")
+
+
+def survivors(df: DataFrame, features: list[str], label: str, c: float = 0.1) -> list[str]:
+    """Features with a non-zero coefficient under an L1 penalty."""
+    m = balanced_logistic(df, features, label, c, 1.0)
+    return [] if m is None else [f for f, w in zip(features, m[0], strict=True) if abs(w) > 1e-8]
+
+
+def coefficient_table(df: DataFrame, features: list[str], label: str, **options) -> DataFrame:
+    """feature, coefficient (on the raw feature) and the intercept as a row of its own: a refit on all rows, to be saved."""
+    m = balanced_logistic(df, features, label, **options)
+    if m is None:
+        raise ValueError("one class only")
+    return df.sparkSession.createDataFrame([*zip(features, map(float, m[0]), strict=True), ("intercept", m[1])], "feature string, coefficient double")
+
+
+def compared(df: DataFrame, fold: str, folds: int, sets: dict[str, list[str]], label: str, universes: dict[str, Column], **options) -> DataFrame:
+    """universe, model, n, positives, roc_auc, average_precision: each feature set cross-validated on each universe."""
+    from .metrics import auc_by
+
+    out = None
+    for u, on in universes.items():
+        for name, features in sets.items():
+            scores = cross_validated_scores(df.where(on), fold, folds, features, label, **options).where("linear_score is not null")
+            row = auc_by(scores.withColumn("g__", F.lit(1)), "g__", "linear_score", label).drop("g__").select(F.lit(u).alias("universe"), F.lit(name).alias("model"), "*")
+            out = row if out is None else out.union(row)
+    return out

@@ -256,3 +256,39 @@ def word2vec_documents(t) -> DataFrame:
     d = t("conversations").select("conv_id", X.tokens(F.lower("text")).alias("words"))
     v = models.word_vectors(d, "words", dim=16, least=20, rounds=1)
     return models.document_vectors(d, "conv_id", "words", v).select("conv_id", "n", F.size("vector").alias("dim"))
+
+
+@query()
+def scored_universe(t) -> DataFrame:
+    """Every document scored and ranked; the labelled ones out of fold."""
+    d = t("documents").select("doc_id", F.log1p("n_chars").alias("length"), (k("n_chars") % 97).cast("double").alias("noise"))
+    y = t("labels").select("doc_id", k("quality").cast("int").alias("y"), (k("doc_id") % 3).cast("int").alias("fold"))
+    out = models.scored_universe(G.cut(d.join(y, "doc_id", "left")), "doc_id", "fold", 3, ["length", "noise"], "y")
+    return out.select("doc_id", "y", "rank")
+
+
+@query()
+def bag_model(t) -> DataFrame:
+    """Bags of vectors, mean-pooled, and a model of the pooled vectors that scores every bag."""
+    from ..sources.records import mean_vector
+
+    e = t("embeddings").select((k("vec_id") % 60).alias("bag"), F.slice("embedding", 1, 4).alias("v"))
+    pooled, names = models.with_components(mean_vector(e, "bag", "v"), "vector", 4)
+    d = G.cut(pooled.select(k("key").alias("bag"), *names, (k("e0") > 0).cast("int").alias("y")))
+    m = models.balanced_logistic(d, names, "y", 0.1)
+    return d.select("bag", "y", F.round(S.sigmoid(models.linear(m, names)), 4).alias("probability"))
+
+
+@query()
+def model_sets(t) -> DataFrame:
+    """Feature sets side by side on two universes, with the features that an L1 penalty keeps."""
+    d = _labelled(t)
+    sets = {"length": ["length"], "shape": ["upper", "marks"], "all": ["length", "upper", "marks"]}
+    out = models.compared(d, "fold", 3, sets, "y", {"all": F.lit(True), "long": k("length") > 5})
+    kept = "|".join(models.survivors(d, sets["all"], "y"))
+    return out.withColumns({"roc_auc": F.round("roc_auc", 4), "average_precision": F.round("average_precision", 4), "survivors": F.lit(kept)})
+
+
+@query()
+def refit_coefficients(t) -> DataFrame:
+    return models.coefficient_table(_labelled(t), ["length", "upper", "marks"], "y").withColumn("coefficient", F.round("coefficient", 3))

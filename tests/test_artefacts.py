@@ -170,3 +170,18 @@ def test_models(spark):
     assert len(out) == 300 and np.mean((out[:, 1] > 0) == (y == 1)) > 0.7
     curve = models.learning_curve(d, "id", "fold", 0, ["a", "b"], "y", 4).collect()
     assert [r["train_rows"] for r in curve] == sorted(r["train_rows"] for r in curve) and curve[-1]["train_rows"] == 200
+
+
+def test_scored_universe_and_sets(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((240, 2))
+    y = [int(v > 0) if i % 2 else None for i, v in enumerate(x[:, 0])]
+    d = spark.createDataFrame([(i, i // 2 % 3 if t is not None else None, *map(float, v), t) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, fold int, a double, b double, y int")
+    out = models.scored_universe(d, "id", "fold", 3, ["a", "b"], "y").orderBy("rank").collect()
+    assert [r["rank"] for r in out] == list(range(1, 241)) and [r["linear_score"] for r in out] == sorted((r["linear_score"] for r in out), reverse=True)
+    off = [r for r in out if r["y"] is None]
+    assert np.mean([(r["linear_score"] > 0) == (x[r["id"], 0] > 0) for r in off]) > 0.9
+    gold = d.where("y is not null")
+    assert models.survivors(gold, ["a", "b"], "y") == ["a"] and models.coefficient_table(gold, ["a", "b"], "y").count() == 3
+    rows = {(r["universe"], r["model"]): r for r in models.compared(gold, "fold", 3, {"a": ["a"], "b": ["b"]}, "y", {"all": F.lit(True), "some": F.col("b") > 0}).collect()}
+    assert rows["all", "a"]["roc_auc"] > 0.95 > 0.7 > rows["all", "b"]["roc_auc"] and rows["some", "a"]["n"] < rows["all", "a"]["n"] == 120
