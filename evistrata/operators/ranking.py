@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 BLOCK = 2048
 
 
@@ -59,12 +61,24 @@ def average_rank(value: str, group: list[str] | None = None, descending: bool =
     return F.rank().over(Window.partitionBy(*part).orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, F.col(value))) - 1) / 2
 
 
+def running_before(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
+    """df with the sum of `column` over all rows before, by `order`: a range shuffle, kept so that its cuts hold for both
+    steps, sums within each part, and each part's start, of which the driver only sees one total a part."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = cut(df.repartitionByRange(n, order).withColumn("part__", F.spark_partition_id()))
+    starts, at = [], 0
+    for r in local.groupBy("part__").agg(F.sum(column).alias("n")).orderBy("part__").collect():
+        starts.append((r["part__"], at))
+        at += r["n"] or 0
+    begin = df.sparkSession.createDataFrame(starts or [(0, 0)], "part__ int, begin__ long")
+    before = F.sum(column).over(Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return local.withColumn("own__", F.coalesce(before, F.lit(0))).join(F.broadcast(begin), "part__").withColumn(name, F.col("begin__") + F.col("own__")).drop("part__", "begin__", "own__")
+
+
 def distributed_average_rank(df: DataFrame, value: str, name: str = "avg_rank") -> DataFrame:
-    """Average ranks over the whole table: only distinct values (with counts) are ordered in one place."""
-    counts = df.groupBy(value).agg(F.count("*").alias("ties__"))
-    before = F.sum("ties__").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(name, F.coalesce(before, F.lit(0)) + (F.col("ties__") + 1) / 2).drop("ties__")
-    return df.join(ranks, value)
+    """Average ranks over the whole table, from the counts of its distinct values."""
+    counts = running_before(df.groupBy(value).agg(F.count("*").alias("ties__")), value, "ties__", "before__")
+    return df.join(counts.withColumn(name, F.col("before__") + (F.col("ties__") + 1) / 2).drop("ties__", "before__"), value)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -88,11 +102,11 @@ def largest_gap(scores: DataFrame, score: str, top: int = 50, low: float = 0.60,
 
 
 def distributed_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with 1..n over the whole table: a range shuffle, numbers within each partition, and each partition's start,
-    of which the driver only sees one count a partition."""
+    """df with 1..n over the whole table: a range shuffle, kept so that its cuts hold for both steps, numbers within each
+    partition, and each partition's start, of which the driver only sees one count a partition."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id__", F.monotonically_increasing_id())
-    local = local.withColumns({"part__": F.shiftright("id__", 33), "row__": F.col("id__").bitwiseAND(F.lit((1 << 33) - 1))})
+    local = cut(local.withColumns({"part__": F.shiftright("id__", 33), "row__": F.col("id__").bitwiseAND(F.lit((1 << 33) - 1))}))
     starts, at = [], 0
     for r in local.groupBy("part__").agg(F.count("*").alias("n")).orderBy("part__").collect():
         starts.append((r["part__"], at))

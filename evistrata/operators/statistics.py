@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def log_factorial(n: Column) -> Column:
     """ln n!, exact to about 1e-12: a table below 8, Stirling's series above. Its size doesn't depend on the data."""
@@ -77,8 +79,8 @@ def set_term_fisher(sets: DataFrame, terms: DataFrame, universe: int) -> DataFra
 def cliffs_delta(df: DataFrame, value: str, label: str) -> DataFrame:
     """One row: sizes, Mann-Whitney U of label 1 over label 0, delta = 2U / (n1 n0) - 1. Ties are counted by value."""
     ties = df.groupBy(value).agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = ties.select("a", "b", (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum("u").alias("u"))
+    ties = ranking.running_before(ties, value, "b", "below")
+    u = ties.select("a", "b", (F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u")).agg(F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum("u").alias("u"))
     return u.withColumn("delta", F.try_divide(2 * F.col("u"), F.col("n1") * F.col("n0")) - 1)
 
 
@@ -89,7 +91,7 @@ def enrichment(scored: DataFrame, members: DataFrame) -> DataFrame:
     hits are visited: before each hit the running sum is at its lowest since the hit before.
     """
     total = scored.agg(F.count("*").alias("n")).first()["n"]
-    ranked = scored.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))
+    ranked = ranking.distributed_row_number(scored.select("gene", "score"), [F.desc("score"), F.asc("gene")], "pos")
     hits = ranked.join(members, "gene")
     w = Window.partitionBy("module")
     to = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -104,7 +106,7 @@ def leading_edges(scored: DataFrame, members: DataFrame, most: int = 50) -> Data
     """scored(gene, score), members(module, gene) -> module, edge: the hits up to the highest point of the running sum (or
     from the lowest on, where that is further from 0), in rank order, `most` at the most."""
     total = scored.agg(F.count("*").alias("n")).first()["n"]
-    ranked = scored.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "gene")))
+    ranked = ranking.distributed_row_number(scored.select("gene", "score"), [F.desc("score"), F.asc("gene")], "pos")
     w = Window.partitionBy("module")
     to = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     size, weight = F.count("*").over(w), F.sum(F.abs("score")).over(w)
@@ -120,9 +122,7 @@ def leading_edges(scored: DataFrame, members: DataFrame, most: int = 50) -> Data
 def rank_sum_tests(scored: DataFrame, members: DataFrame) -> DataFrame:
     """scored(gene, score), members(module, gene) -> module, n1, z, p: Mann-Whitney of each module against the rest, normal
     approximation without tie correction, one-sided. Modules with fewer than 2 genes in or out are left out."""
-    from .ranking import distributed_average_rank
-
-    ranks = distributed_average_rank(scored, "score", "rank")
+    ranks = ranking.distributed_average_rank(scored, "score", "rank")
     n = F.lit(scored.count()).cast("double")
     sums = ranks.join(members.distinct(), "gene").groupBy("module").agg(F.count("*").alias("n1"), F.sum("rank").alias("r")).where((F.col("n1") >= 2) & (n - F.col("n1") >= 2))
     n1, n2 = F.col("n1").cast("double"), n - F.col("n1")

@@ -51,3 +51,19 @@ def test_bootstrap_spread(spark):
     df = spark.range(500).select("id", (F.col("id") % 2).alias("v"))
     got = [r["statistic"] for r in models.bootstrap(df, "id", 300, F.sum(F.col("w") * F.col("v")) / F.sum("w")).collect()]
     assert len(got) == 300 and abs(np.mean(got) - 0.5) < 0.01 and abs(np.std(got) - 0.5 / 500**0.5) < 0.004
+
+
+def test_running_sums_and_row_numbers(spark):
+    from evistrata.operators import ranking
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 5000, 20_000)
+    d = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "id long, v long").repartition(7)
+    rows = ranking.distributed_row_number(d, [F.desc("v"), F.asc("id")], "r").orderBy("r").collect()
+    want = np.lexsort((np.arange(len(v)), -v))
+    assert [r["r"] for r in rows] == list(range(1, len(v) + 1)) and [r["id"] for r in rows] == want.tolist()
+    got = {r["id"]: r["avg_rank"] for r in ranking.distributed_average_rank(d, "v").collect()}
+    values, counts = np.unique(v, return_counts=True)
+    mean = dict(zip(values.tolist(), np.cumsum(counts) - (counts - 1) / 2, strict=True))
+    assert all(got[i] == mean[int(x)] for i, x in enumerate(v))
+    assert ranking.distributed_row_number(d.limit(0), [F.asc("v")], "r").count() == 0 == ranking.distributed_average_rank(d.limit(0), "v").count()
