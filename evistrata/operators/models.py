@@ -83,15 +83,91 @@ def balanced_logistic(train: DataFrame, features: list[str], label: str, c: floa
     return coef, float(fit.intercept - coef @ mean)
 
 
-def cross_validated_scores(df: DataFrame, fold: str, folds: int, features: list[str], label: str, **options) -> DataFrame:
+def fold_logistics(df: DataFrame, fold: str, folds: int, features: list[str], label: str, c: float = 1.0) -> list[tuple[np.ndarray, float] | None]:
+    """balanced_logistic without an L1 part for every fold held out in turn, all folds together: Newton's method, whose every
+    step is one pass over the rows, with (folds * d * d) sums added up before the driver sees them. Rows with a null fold
+    train no model; a null or NaN feature or label is an error; folds whose training rows lack a class are None."""
+    d = len(features)
+    part = F.when(F.col(fold).between(0, folds - 1), F.col(fold)).otherwise(-1).cast("int")
+    rows = df.where(F.col(fold).isNotNull()).select(part.alias("f"), F.col(label).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(features)]).persist()
+    try:
+        names = [f"x{i}" for i in range(d)]
+        bad = F.lit(False)
+        for x in ["y", *names]:
+            bad = bad | F.col(x).isNull() | F.isnan(x)
+        per = rows.groupBy("f").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("p"), F.count_if(bad).alias("bad"), F.array(*map(F.avg, names)).alias("m"), F.array(*map(F.var_pop, names)).alias("v")).collect()
+        if any(r["bad"] for r in per):
+            raise ValueError("features and labels must not be null or NaN")
+        shape, at, found = {}, {}, [None] * folds
+        for k in range(folds):
+            own = [r for r in per if r["f"] != k]
+            n, p = sum(r["n"] for r in own), sum(r["p"] for r in own)
+            if 0 < p < n:
+                mean = sum(r["n"] * np.array(r["m"], dtype=float) for r in own) / n
+                scale = np.sqrt(sum(r["n"] * (np.array(r["v"], dtype=float) + (np.array(r["m"], dtype=float) - mean) ** 2) for r in own) / n)
+                shape[k] = n, p, mean, np.where(scale > 1e-12 * np.abs(mean), scale, np.inf)  # a constant feature weighs nothing
+                at[k] = np.zeros(d + 1), None, np.inf, 1.0  # last accepted point, direction, value there, step length
+        for _ in range(100):
+            trial = {k: w if move is None else w + t * move for k, (w, move, _, t) in at.items()}
+            if not trial:
+                break
+
+            def sums(batches, trial=trial):
+                import pyarrow as pa
+
+                total = {k: np.zeros(1 + (d + 1) * (d + 2)) for k in trial}
+                for b in batches:
+                    f, y = np.asarray(b["f"]), np.asarray(b["y"])
+                    x = np.stack([np.asarray(b[c]) for c in names], axis=1) if d else np.zeros((b.num_rows, 0))
+                    for k, w in trial.items():
+                        n, p, mean, scale = shape[k]
+                        on = f != k
+                        one = y[on] == 1
+                        z = np.column_stack([(x[on] - mean) / scale, np.ones(on.sum())])
+                        weight = np.where(one, n / (2 * p), n / (2 * (n - p))) / n
+                        eta = z @ w
+                        prob = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+                        curve = z.T @ (z * (weight * prob * (1 - prob))[:, None])
+                        total[k] += np.concatenate([[weight @ (np.logaddexp(0, eta) - eta * one)], z.T @ (weight * (prob - one)), curve.ravel()])
+                for k, v in total.items():
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(v), k), pa.int32()), "i": pa.array(np.arange(len(v)), pa.int32()), "v": v})
+
+            got = {k: np.zeros(1 + (d + 1) * (d + 2)) for k in trial}
+            for r in rows.mapInArrow(sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
+                got[r["k"]][r["i"]] = r["v"]
+            for k, w in trial.items():
+                ridge = np.append(np.full(d, 1 / (c * shape[k][0])), 0.0)
+                value = got[k][0] + ridge @ (w * w) / 2
+                before, move, least, t = at[k]
+                if value > least + 1e-12 and t > 1e-6:
+                    at[k] = before, move, least, t / 2
+                    continue
+                slope = got[k][1 : d + 2] + ridge * w
+                move = -np.linalg.lstsq(got[k][d + 2 :].reshape(d + 1, d + 1) + np.diag(ridge), slope, rcond=None)[0]
+                at[k] = w, move, value, 1.0
+                if np.abs(move).max() < 1e-9 or -(slope @ move) < 1e-16:
+                    coef = w[:d] / shape[k][3]
+                    found[k] = coef, float(w[d] - coef @ shape[k][2])
+                    del at[k]
+        for k, (w, *_) in at.items():  # not settled within the rounds: the best point so far
+            coef = w[:d] / shape[k][3]
+            found[k] = coef, float(w[d] - coef @ shape[k][2])
+        return found
+    finally:
+        rows.unpersist()
+
+
+def cross_validated_scores(df: DataFrame, fold: str, folds: int, features: list[str], label: str, c: float = 1.0, l1_share: float = 0.0) -> DataFrame:
     """Every row scored by the model of the other folds; folds whose training rows lack a class are skipped."""
     df = df.withColumn("fold__", F.col(fold))
     score = F.lit(None).cast("double")
-    for k in range(folds):
-        model = balanced_logistic(df.where(F.col("fold__") != k), features, label, **options)
+    if l1_share:
+        found = [balanced_logistic(df.where(F.col("fold__") != k), features, label, c, l1_share) for k in range(folds)]
+    else:
+        found = fold_logistics(df, "fold__", folds, features, label, c)
+    for k, model in enumerate(found):
         if model is not None:
-            linear = sum((F.col(x) * float(w) for x, w in zip(features, model[0], strict=True)), F.lit(model[1]))
-            score = F.when(F.col("fold__") == k, linear).otherwise(score)
+            score = F.when(F.col("fold__") == k, linear(model, features)).otherwise(score)
     return df.withColumn("linear_score", score).drop("fold__")
 
 

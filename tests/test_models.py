@@ -67,3 +67,28 @@ def test_running_sums_and_row_numbers(spark):
     mean = dict(zip(values.tolist(), np.cumsum(counts) - (counts - 1) / 2, strict=True))
     assert all(got[i] == mean[int(x)] for i, x in enumerate(v))
     assert ranking.distributed_row_number(d.limit(0), [F.asc("v")], "r").count() == 0 == ranking.distributed_average_rank(d.limit(0), "v").count()
+
+
+def test_fold_logistics_match_the_library(spark):
+    """Newton's fits of all folds against Spark's own solver, fold by fold, with rows that have no fold."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) * [1, 50] + [0, 1000]
+    y = (x[:, 0] + (x[:, 1] - 1000) / 80 + rng.normal(size=400) > 1.2).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), 7.0, int(t), None if i % 50 == 0 else i % 4) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))], "a double, b double, same double, y int, f int")
+    found = models.fold_logistics(df, "f", 3, ["a", "b", "same"], "y", 0.5)
+    f = np.array([-9 if i % 50 == 0 else i % 4 for i in range(400)])
+    for k, (coef, intercept) in enumerate(found):
+        on = (f != k) & (f >= 0)
+        n, p, mean, scale = on.sum(), y[on].sum(), x[on].mean(0), x[on].std(0)
+        z = (x[on] - mean) / scale
+        rows = [(float(a), float(b), float(t), float(n / (2 * p) if t else n / (2 * (n - p)))) for (a, b), t in zip(z, y[on], strict=True)]
+        table = VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(spark.createDataFrame(rows, "a double, b double, label double, w double"))
+        fit = LogisticRegression(featuresCol="v", weightCol="w", regParam=1 / (0.5 * n), standardization=False, maxIter=200, tol=1e-12).fit(table)
+        want = fit.coefficients.toArray() / scale
+        assert np.allclose(coef[:2], want, rtol=1e-4) and coef[2] == 0
+        assert np.isclose(intercept, fit.intercept - want @ mean, rtol=1e-3)
+    assert models.fold_logistics(df.where("y = 1"), "f", 2, ["a"], "y") == [None, None]
+    assert models.fold_logistics(df.limit(0), "f", 1, ["a"], "y") == [None]
