@@ -53,16 +53,20 @@ def fold(text: Column) -> Column:
     return F.translate(text, "".join(FOLD), "".join(FOLD.values()))
 
 
-def normalize(text: Column) -> Column:
-    """The whole cleaning chain. Intra-word hyphens vanish and fuse their words; the chain isn't idempotent."""
-    out = F.regexp_replace(F.lower(fold(text)), r"(?U)\bet\s+al\b", " ")
+def normalize(text: Column, ascii_words: bool = False) -> Column:
+    """The whole cleaning chain. Intra-word hyphens vanish and fuse their words; the chain isn't idempotent.
+
+    With ascii_words, "et al" and "als" end at any character but ASCII letters, digits and "_", as SQL's \\b has it.
+    """
+    alone = (lambda w: rf"(?U)(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])") if ascii_words else (lambda w: rf"(?U)\b{w}\b")
+    out = F.regexp_replace(F.lower(fold(text)), alone(r"et\s+al"), " ")
     for i, u in enumerate(UNITS):
         if len(u) > 1 and not any(e in u for e in UNITS[:i]):  # else nothing is left of it by then
             out = F.replace(out, F.lit(u), F.lit(" "))
     single = "".join(dict.fromkeys(u for u in UNITS if len(u) == 1))  # each comes after the longer ones that hold it
     out = F.translate(out, single, " " * len(single))
     out = F.regexp_replace(out, "(?iU)(" + "|".join(SYNONYMS) + ")", f" {ENTITY} ")
-    out = F.regexp_replace(out, r"(?U)\bals\b", f" {ENTITY} ")
+    out = F.regexp_replace(out, alone("als"), f" {ENTITY} ")
     for pattern, by in CLEANING:
         ascii_only = pattern in (r"\b\d+\b", r"\bh4\b", r"\b[a-zA-Z0-9]\b", r"-{2,}")
         out = F.regexp_replace(out, pattern if ascii_only else f"(?U){pattern}", by)
